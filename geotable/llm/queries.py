@@ -6,10 +6,12 @@ from geotable.llm.hilbert_shards import op1_hilbert_shards
 from geotable.llm.minhash import op7_minhash
 from geotable.llm.packing import op8_packing
 from geotable.llm.token_counts import op4_token_counts
+from geotable.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op4_token_counts": op4_token_counts,
+    "op5_toxicity": op5_toxicity,
     "op7_minhash": op7_minhash,
     "op8_packing": op8_packing,
 }
