@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from geotable.llm.decontamination import op6_decontamination
 from geotable.llm.hilbert_shards import op1_hilbert_shards
 from geotable.llm.minhash import op7_minhash
 from geotable.llm.packing import op8_packing
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
+    "op6_decontamination": op6_decontamination,
     "op7_minhash": op7_minhash,
     "op8_packing": op8_packing,
 }
