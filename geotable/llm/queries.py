@@ -6,11 +6,13 @@ from geotable.llm.decontamination import op6_decontamination
 from geotable.llm.hilbert_shards import op1_hilbert_shards
 from geotable.llm.minhash import op7_minhash
 from geotable.llm.packing import op8_packing
+from geotable.llm.secrets import op2_secrets
 from geotable.llm.token_counts import op4_token_counts
 from geotable.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_hilbert_shards": op1_hilbert_shards,
+    "op2_secrets": op2_secrets,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
