@@ -9,6 +9,7 @@ from geotable.llm.packing import op8_packing
 from geotable.llm.secrets import op2_secrets
 from geotable.llm.token_counts import op4_token_counts
 from geotable.llm.toxicity import op5_toxicity
+from geotable.llm.url_filter import op10_url_filter
 
 QUERIES = {
     "op1_hilbert_shards": op1_hilbert_shards,
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_minhash": op7_minhash,
     "op8_packing": op8_packing,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLES: dict[str, str] = {}
