@@ -7,6 +7,7 @@ from geotable.llm.hilbert_shards import op1_hilbert_shards
 from geotable.llm.minhash import op7_minhash
 from geotable.llm.packing import op8_packing
 from geotable.llm.secrets import op2_secrets
+from geotable.llm.spotsigs import op9_spotsigs
 from geotable.llm.token_counts import op4_token_counts
 from geotable.llm.toxicity import op5_toxicity
 from geotable.llm.url_filter import op10_url_filter
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_minhash": op7_minhash,
     "op8_packing": op8_packing,
+    "op9_spotsigs": op9_spotsigs,
     "op10_url_filter": op10_url_filter,
 }
 
