@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from geotable.llm.decontamination import op6_decontamination
 from geotable.llm.hilbert_shards import op1_hilbert_shards
+from geotable.llm.licenses import op3_licenses
 from geotable.llm.minhash import op7_minhash
 from geotable.llm.packing import op8_packing
 from geotable.llm.secrets import op2_secrets
@@ -15,6 +16,7 @@ from geotable.llm.url_filter import op10_url_filter
 QUERIES = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_secrets": op2_secrets,
+    "op3_licenses": op3_licenses,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
