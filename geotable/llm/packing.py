@@ -49,16 +49,26 @@ def combinations(counts: np.ndarray, window: int) -> list[tuple[int, ...]]:
     return list(out)
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """min |ax - b| with x >= 0, by accelerated projected gradients (a is small, entries are small counts)."""
-    if not a.size:
-        return np.zeros(a.shape[1])
-    g, h = a.T @ a, a.T @ b
-    step = 1 / max(np.abs(g).sum(axis=1).max(), 1e-9)
-    x = y = np.zeros(a.shape[1])
+def nnls(sets: list[tuple[int, ...]], b: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """min |Ax - b| with x >= 0, where A[n, j] says how often combination j has length n, by accelerated projected gradients.
+
+    A is kept as its few entries, so memory follows the number of combinations.
+    """
+    k = len(sets)
+    col = np.repeat(np.arange(k), [len(s) for s in sets])
+    row = np.fromiter((n for s in sets for n in s), np.int64, len(col))
+    times = lambda x: np.bincount(row, x[col], minlength=len(b))
+    back = lambda r: np.bincount(col, r[row], minlength=k)
+    v = np.ones(k)
+    for _ in range(30):  # the largest eigenvalue, for the step
+        v = back(times(v))
+        norm = float(np.linalg.norm(v)) or 1.0
+        v /= norm
+    step = 1 / (1.05 * norm)
+    x = y = np.zeros(k)
     t = 1.0
     for _ in range(rounds):
-        z = np.maximum(y - step * (g @ y - h), 0)
+        z = np.maximum(y - step * back(times(y) - b), 0)
         u = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y, x, t = z + (t - 1) / u * (z - x), z, u
     return x
@@ -76,13 +86,7 @@ def plan(counts: dict[int, int], window: int) -> list[tuple[tuple[int, ...], int
     out: list[tuple[tuple[int, ...], int]] = []
     sets = combinations(left[:window], window)
     if sets:
-        rows = np.flatnonzero(left)
-        at = {int(n): i for i, n in enumerate(rows)}
-        a = np.zeros((len(rows), len(sets)))
-        for j, s in enumerate(sets):
-            for n in s:
-                a[at[n], j] += 1
-        x = nnls(a, left[rows].astype(float))
+        x = nnls(sets, left.astype(float))
         waste = [window - sum(s) for s in sets]
         for j in sorted(range(len(sets)), key=lambda j: (waste[j], -x[j])):
             need = {n: sets[j].count(n) for n in sets[j]}
