@@ -62,9 +62,13 @@ def lower_words(text: Column) -> Column:
 
 
 def counted(df: DataFrame, text: str) -> DataFrame:
-    """`df` with n_words, n_base, first_word, last_word (long) and __base (array of labels)."""
+    """`df`, which has __low (the lower-cased text) and __words (its words), with n_words, n_base, first_word, last_word (long) and __base (array of labels)."""
     n = lambda c: F.regexp_count(c, F.lit(WORD)).cast("long")
-    out = df.withColumn("__text", text_or_empty(f"`{text}`")).withColumn("n_words", n(F.col("__text"))).withColumn("__hits", F.regexp_extract_all(F.col("__text"), F.lit(BASE), F.lit(0)))
+    # every phrase has one of these in the lower-cased text, so other texts need no search
+    low = F.col("__low")
+    maybe = F.contains(low, F.lit("reserved")) | F.contains(low, F.lit("license")) | F.contains(low, F.lit("cc")) & F.contains(low, F.lit("by"))
+    out = df.withColumn("__text", text_or_empty(f"`{text}`")).withColumn("n_words", F.size("__words").cast("long"))
+    out = out.withColumn("__hits", F.when(maybe, F.regexp_extract_all(F.col("__text"), F.lit(BASE), F.lit(0))).otherwise(F.expr("CAST(array() AS array<string>)")))
     some = F.size("__hits") > 0
     out = out.withColumn("__gaps", F.when(some, F.split("__text", BASE, -1))).withColumn("n_base", F.size("__hits").cast("long"))
     first = {p[0]: v for p, v in PHRASES.items()}
@@ -75,20 +79,24 @@ def counted(df: DataFrame, text: str) -> DataFrame:
     return out.drop("__text", "__hits", "__gaps")
 
 
-def frequencies(df: DataFrame, vocabulary: list[str], text: str) -> dict[str, int]:
-    """In how many rows each word of the (bounded) vocabulary occurs, over all rows."""
-    known = F.array(*map(F.lit, vocabulary))
-    seen = df.select(F.explode(F.array_intersect(lower_words(text_or_empty(f"`{text}`")), known)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+def frequencies(rows: DataFrame) -> dict[str, int]:
+    """In how many rows each word of the (bounded) vocabulary occurs, over all rows; rows have them in __known."""
+    seen = rows.select(F.explode("__known").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     return {r["w"]: r["n"] for r in seen.collect()}
 
 
+def need_of(size: int, containment: float) -> int:
+    """Words of a template of `size` that a block must hold."""
+    return max(1, math.ceil(containment * size - 1e-9))
+
+
 def ordered(templates: list[tuple[str, str]], seen: dict[str, int], containment: float) -> tuple[dict[str, int], list[dict]]:
     """Rank of each word (rarest first), and templates with label, ranks (ascending), need and prefix."""
     sets = [(label, words_of(t)) for label, t in templates]
     rank = {w: i for i, w in enumerate(sorted({w for _, s in sets for w in s}, key=lambda w: (seen.get(w, 0), w)))}
     out = []
     for i, (label, s) in enumerate(sets):
-        ranks, need = sorted(rank[w] for w in s), max(1, math.ceil(containment * len(s) - 1e-9))
+        ranks, need = sorted(rank[w] for w in s), need_of(len(s), containment)
         out.append({"id": i, "label": label, "ranks": ranks, "need": need, "prefix": ranks[: len(ranks) - need + 1]})
     return rank, out
 
@@ -126,20 +134,28 @@ def license_labels(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     """
     new = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     own = [c for c in df.columns if c not in (text, *new)]
-    vocabulary = list(dict.fromkeys(w for _, t in templates for w in words_of(t)))
-    rank, sets = ordered(templates, frequencies(df, vocabulary, text), containment)
-    rare = sorted({w for w, r in rank.items() if any(r in t["prefix"] for t in sets)})
-    any_rare = rf"(?<!{_W})(?i:{'|'.join(rare)})(?!{_W})"
-    least = min((t["need"] for t in sets), default=1)
-
-    t = text_or_empty(f"`{text}`")
-    known = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])
-    ranks = lambda b: F.array_sort(F.array_distinct(F.filter(F.transform(lower_words(b), lambda w: F.try_element_at(known, w)), lambda r: r.isNotNull())))
-    rare_blocks = F.filter(blocks(t), lambda b: F.rlike(b, F.lit(any_rare)))
-    found = F.filter(F.transform(rare_blocks, ranks), lambda r: F.size(r) >= least)
-    rows = counted(df.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text}`")), text)
-    rows = rows.withColumn("__blocks", F.when(F.rlike(t, F.lit(any_rare)), F.array_distinct(found)).otherwise(F.expr("CAST(array() AS array<array<int>>)")))
-    rows = cut(rows.drop(text))
+    sets_of = [set(words_of(t)) for _, t in templates]
+    needs = [need_of(len(w), containment) for w in sets_of]
+    words = lambda w: F.array(*map(F.lit, sorted(w))).cast("array<string>")
+    vocabulary = words(set().union(*sets_of))
+
+    # lower() differs from lower-casing A-Z in other letters alone, so words are as many; blocks are taken exactly below
+    rows = df.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text}`")).withColumn("__low", F.lower(text_or_empty(f"`{text}`")))
+    rows = rows.withColumn("__words", F.regexp_extract_all("__low", F.lit(WORD), F.lit(0))).withColumn("__known", F.array_intersect("__words", vocabulary))
+    rows = counted(rows, text)
+    # a text without enough of any template's words has no block with enough
+    open_ = F.lit(False)
+    for w, need in zip(sets_of, needs, strict=True):
+        open_ = open_ | (F.size(F.array_intersect("__known", words(w))) >= need)
+    known = F.transform(blocks(text_or_empty(f"`{text}`")), lambda b: F.array_intersect(lower_words(b), vocabulary))
+    found = F.array_distinct(F.filter(known, lambda b: F.size(b) >= min(needs, default=1)))
+    rows = rows.withColumn("__found", F.when(open_, found).otherwise(F.expr("CAST(array() AS array<array<string>>)")))
+    rows = cut(rows.drop(text, "__low", "__words"))
+
+    rank, sets = ordered(templates, frequencies(rows), containment)
+    known = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv]) if rank else F.expr("CAST(map() AS map<string,int>)")
+    ranks = F.transform("__found", lambda b: F.array_sort(F.transform(b, lambda w: F.try_element_at(known, w))))
+    rows = rows.withColumn("__blocks", F.when(F.size("__found") > 0, ranks).otherwise(F.expr("CAST(array() AS array<array<int>>)"))).drop("__found", "__known")
     labels = cut(matched(rows.select(F.explode("__blocks").alias("block")), sets))
 
     # what a row's blocks add: rows with equal sets of blocks are looked up once
