@@ -10,6 +10,7 @@ indexes of rings or lines (null for one); ordinates are flat arrays, x and y in
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,6 +33,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _let(c: Column | str, f: Callable[[Column], Column]) -> Column:
+    """f of a column, which is evaluated, and stands in the plan, once: as the variable of a function over a list of one."""
+    return f(F.col(c)) if isinstance(c, str) else F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 # -- types ---------------------------------------------------------------------------------------
 
 
@@ -189,7 +195,11 @@ def part_n(geom: Column | str, n: int | Column = 0) -> Column:
 
 def n_points(geom: Column | str) -> Column:
     """Vertices of all parts (long); 0 for an empty geometry, null for null."""
-    return F.aggregate(_col(geom)["parts"], F.lit(0).cast("long"), lambda a, p: a + points_in(p["xy"]))
+    return _let(geom, lambda g: _n_points(g))
+
+
+def _n_points(g: Column) -> Column:
+    return F.aggregate(g["parts"], F.lit(0).cast("long"), lambda a, p: a + points_in(p["xy"]))
 
 
 def x(geom: Column | str) -> Column:
@@ -243,13 +253,21 @@ def point_n(geom: Column | str, n: int) -> Column:
 
 def polygon_n(geom: Column | str, n: int) -> Column:
     """The n-th polygon of a MultiPolygon (always a polygon, whatever type its part claims)."""
+    return _let(geom, lambda g: _polygon_n(g, n))
+
+
+def _polygon_n(g: Column, n: int) -> Column:
     p = part_n(geom, n)
     return F.when(p.isNotNull(), F.struct(F.lit(POLYGON).cast("tinyint").alias("type"), F.array(p.withField("path", F.array().cast("array<int>")).withField("type", F.lit(POLYGON).cast("tinyint"))).alias("parts")))
 
 
 def geometry_n(geom: Column | str, n: int) -> Column:
     """The n-th member of a collection, with its own type."""
-    own = F.filter(_col(geom)["parts"], lambda p: F.get(p["path"], F.lit(0)) == n)
+    return _let(geom, lambda g: _geometry_n(g, n))
+
+
+def _geometry_n(g: Column, n: int) -> Column:
+    own = F.filter(g["parts"], lambda p: F.get(p["path"], F.lit(0)) == n)
     inner = F.transform(own, lambda p: p.withField("path", F.slice(p["path"], 2, F.greatest(F.size(p["path"]) - 1, F.lit(0)))))
     code = F.when(F.exists(inner, lambda p: F.size(p["path"]) > 0), F.lit(MULTIPOLYGON)).otherwise(F.get(inner, F.lit(0))["type"]).cast("tinyint")
     return F.when(F.size(own) > 0, F.struct(code.alias("type"), inner.alias("parts")))
@@ -274,7 +292,11 @@ def coord_dim(geom: Column | str) -> Column:
 
 def bbox(geom: Column | str) -> Column:
     """The box around all coordinates of all parts, NaN ordinates ignored; null for a null or empty geometry."""
-    side = lambda o: F.filter(F.flatten(F.transform(_col(geom)["parts"], lambda p: every(p["xy"], 2, o))), lambda v: ~F.isnan(v))
+    return _let(geom, lambda g: _bbox(g))
+
+
+def _bbox(g: Column) -> Column:
+    side = lambda o: F.filter(F.flatten(F.transform(g["parts"], lambda p: every(p["xy"], 2, o))), lambda v: ~F.isnan(v))
     xs, ys = side(0), side(1)
     return F.when(F.size(xs) > 0, B.make(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)))
 
@@ -284,7 +306,10 @@ def bbox(geom: Column | str) -> Column:
 
 def promoted(geom: Column | str) -> Column:
     """LineString to MultiLineString and Polygon to MultiPolygon, at the top level only; all else stays."""
-    g = _col(geom)
+    return _let(geom, lambda g: _promoted(g))
+
+
+def _promoted(g: Column) -> Column:
     line = F.struct(F.lit(MULTILINE).cast("tinyint").alias("type"), F.transform(g["parts"], lambda p: p.withField("type", F.lit(MULTILINE).cast("tinyint"))).alias("parts"))
     area = F.struct(F.lit(MULTIPOLYGON).cast("tinyint").alias("type"), F.transform(g["parts"], lambda p: p.withField("path", F.array(F.lit(0)))).alias("parts"))
     return F.when(g["type"] == LINE, line).when(g["type"] == POLYGON, area).otherwise(g)
@@ -315,7 +340,7 @@ def projected(geom: Column | str, source: int, destination: int) -> Column:
     else:
         raise ValueError(f"no transformation from {source} to {destination}")
     move = lambda p: p.withField("xy", F.transform(p["xy"], lambda v, i: F.when(i % 2 == 0, fx(v)).otherwise(fy(v))))
-    return F.when(g.isNotNull(), F.struct(g["type"].alias("type"), F.transform(g["parts"], move).alias("parts")))
+    return _let(geom, lambda g: F.when(g.isNotNull(), F.struct(g["type"].alias("type"), F.transform(g["parts"], move).alias("parts"))))
 
 
 # -- text ----------------------------------------------------------------------------------------
@@ -346,7 +371,10 @@ def _tag(code: Column, dim3: Column) -> Column:
 
 def to_wkt(geom: Column | str) -> Column:
     """Well-known text; parts of multi-geometries and surfaces in place, members of collections with their own names."""
-    g = _col(geom)
+    return _let(geom, lambda g: _to_wkt(g))
+
+
+def _to_wkt(g: Column) -> Column:
     dim3 = has_z(g)
     body = F.get(g["parts"], F.lit(0))
     plain = F.concat(_tag(g["type"], dim3), _wkt_part(body.withField("type", g["type"])))
@@ -369,7 +397,10 @@ def _json_part(p: Column) -> Column:
 
 def to_geojson(geom: Column | str) -> Column:
     """GeoJSON text of a geometry (types Point to GeometryCollection); null for null."""
-    g = _col(geom)
+    return _let(geom, lambda g: _to_geojson(g))
+
+
+def _to_geojson(g: Column) -> Column:
     wrap = lambda code, coords: F.concat(F.lit('{"type":"'), type_name(code), F.lit('","coordinates":'), coords, F.lit("}"))
     plain = wrap(g["type"], _json_part(F.get(g["parts"], F.lit(0)).withField("type", g["type"])))
     multi = wrap(g["type"], _join(g["parts"], lambda p: _json_part(p.withField("type", F.lit(POLYGON).cast("tinyint"))), ",", "[", "]"))
@@ -379,7 +410,10 @@ def to_geojson(geom: Column | str) -> Column:
 
 def from_geojson(text: Column | str) -> Column:
     """A geometry from GeoJSON text; null for null, for invalid text and for unknown types. Collections may hold all types but collections."""
-    t = _col(text)
+    return _let(text, _from_geojson)
+
+
+def _from_geojson(t: Column) -> Column:
     member = _member(t)
     inner = F.from_json(F.get_json_object(t, "$.geometries"), "array<string>")
     nested = F.flatten(F.transform(inner, lambda s, i: F.transform(_member(s)["parts"], lambda p: p.withField("path", F.concat(F.array(i), p["path"])))))
@@ -408,7 +442,11 @@ def _member(t: Column) -> Column:
 
 def to_svg(geom: Column | str, invert_y: bool = False) -> Column:
     """An SVG path of all rings and lines; y is turned over for geographic coordinates."""
+    return _let(geom, lambda g: _to_svg(g, invert_y))
+
+
+def _to_svg(g: Column, invert_y: bool ) -> Column:
     sign = -1.0 if invert_y else 1.0
     pt = lambda c: F.concat(number(F.get(c, F.lit(0))), F.lit(" "), number(F.get(c, F.lit(1)) * F.lit(sign)))
-    lines = F.flatten(F.transform(_col(geom)["parts"], lambda p: F.transform(rings(p), lambda r: _join(r, pt, " L ", "M ", ""))))
+    lines = F.flatten(F.transform(g["parts"], lambda p: F.transform(rings(p), lambda r: _join(r, pt, " L ", "M ", ""))))
     return F.concat(F.lit('<path d="'), F.array_join(lines, " "), F.lit('"/>'))

@@ -14,11 +14,10 @@ from pyspark.sql.window import Window
 
 from geotable.functions import bbox as B
 from geotable.functions import hilbert as H
+from geotable.operators.storage import cut
 
 NODE_BYTES = 40
 DEFAULT_NODE_SIZE = 16
-#: Rows that one group of the rank windows holds on average.
-ROWS_IN_GROUP = 500_000
 
 
 def check_node_size(node_size: int) -> int:
@@ -112,12 +111,14 @@ def build(df: DataFrame, node_size: int = DEFAULT_NODE_SIZE, extent: B.Rect | No
     """All nodes (level, pos, bbox, first_child); a leaf's first_child is its row's id. An empty table has no nodes."""
     check_node_size(node_size)
     base = leaves(df, extent, box, fid).select(F.lit(0).alias("level"), "pos", F.col(box).alias("bbox"), F.col(fid).cast("long").alias("first_child"))
-    n = df.count()
+    base = cut(base)  # every level above reads the one below
+    n = base.count()
     if not n:
         return base
     out = level = base
-    for _ in level_sizes(n, node_size)[1:]:
+    for i, _ in enumerate(level_sizes(n, node_size)[1:]):
         level = level_up(level, node_size)
+        level = cut(level) if i == 0 else level
         out = out.union(level)
     return out
 
