@@ -2,37 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from geotable.operators.storage import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir where it is set.
-
-    Only where it is unset (a local session, as in tests) a temporary folder is used.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + os.path.join(tempfile.gettempdir(), "geotable-shared")
-    return at.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared folder and read it back.
-
-    Lineage ends at the written files, which outlive executors, so a lost executor costs only
-    the tasks that it ran.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["batches", "cut", "shared_dir", "text_or_empty"]
 
 
 def text_or_empty(name: str = "text") -> Column:
