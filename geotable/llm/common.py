@@ -5,12 +5,31 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geotable.operators.storage import cut, shared_dir
 
-__all__ = ["batches", "cut", "shared_dir", "text_or_empty"]
+__all__ = ["batches", "cut", "mapped", "shared_dir", "text_or_empty"]
+
+
+#: Rows and bytes of an Arrow batch between JVM and Python; both sides hold a few batches for each task.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow over small batches: lowers the session's batch limits to BATCH_ROWS and BATCH_BYTES, and leaves lower ones.
+
+    By default a batch holds 10,000 rows, and with long texts that is more than a small executor has
+    outside its heap.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int("".join(c for c in conf.get(key, "0") if c.isdigit()) or 0)
+        if not 0 < now <= most:
+            conf.set(key, str(most))
+    return df.mapInArrow(run, schema)
 
 
 def text_or_empty(name: str = "text") -> Column:

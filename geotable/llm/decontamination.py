@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotable.llm.common import batches, text_or_empty
+from geotable.llm.common import batches, mapped, text_or_empty
 
 _GAP = re.compile(r"[\W_]+")
 #: Characters of items that are searched in one pass (an automaton takes about 50 bytes for each); more items make more passes.
@@ -141,7 +141,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, share: float = 0.08, key:
                 yield pa.RecordBatch.from_arrays([at, *cols], names=["key", "item", "distance", "start", "end"])
 
         kind = df.schema[key].dataType.simpleString()
-        part = df.select(F.col(f"`{key}`").alias("key"), text_or_empty(f"`{text}`")).mapInArrow(run, f"key {kind}, item long, distance long, start long, end long")
+        part = mapped(df.select(F.col(f"`{key}`").alias("key"), text_or_empty(f"`{text}`")), run, f"key {kind}, item long, distance long, start long, end long")
         out = part if out is None else out.union(part)
     return out.select(F.col("key").alias(key), F.col("item").alias(item), "distance", "start", "end")
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from geotable.llm.common import batches, cut
+from geotable.llm.common import batches, cut, mapped
 from geotable.llm.components import components
 
 PARTS, BITS, CHUNKS, ERRORS = 40, 16, 10, 1
@@ -55,7 +55,7 @@ class Words(dict):
     """Hashes of words; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -113,7 +113,7 @@ def signed(df: DataFrame, width: int, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ks, pa.binary()), pa.array(sigs, pa.binary())], names=["key", "n_shingles", "set_key", "sig"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`")).mapInArrow(run, f"key {kind}, n_shingles long, set_key binary, sig binary")
+    return mapped(df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`")), run, f"key {kind}, n_shingles long, set_key binary, sig binary")
 
 
 def _keyed(classes: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def _keyed(classes: DataFrame) -> DataFrame:
             k = keys(np.frombuffer(b"".join(b.column(1).to_pylist()), "<u2").reshape(-1, PARTS))
             yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), b.column(0).take(pa.array(np.repeat(np.arange(len(k)), k.shape[1])))], names=["k", "id"])
 
-    return classes.select("id", "sig").mapInArrow(run, f"k long, id {classes.schema['id'].dataType.simpleString()}")
+    return mapped(classes.select("id", "sig"), run, f"k long, id {classes.schema['id'].dataType.simpleString()}")
 
 
 def _near(pairs: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def _near(pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), b.column(1).take(pa.array(ok)), pa.array(d[ok], pa.int64())], names=["u", "v", "d"])
 
     kind = pairs.schema["u"].dataType.simpleString()
-    return pairs.select("u", "v", "su", "sv").mapInArrow(run, f"u {kind}, v {kind}, d long")
+    return mapped(pairs.select("u", "v", "su", "sv"), run, f"u {kind}, v {kind}, d long")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def _blocks(members: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield compared(held)
 
-    return met.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, f"u {kind}, v {kind}, d long").distinct()
+    return mapped(met.repartition("cell").sortWithinPartitions("cell"), run, f"u {kind}, v {kind}, d long").distinct()
 
 
 def only(df: DataFrame, key: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -219,7 +219,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     x = texts.select(F.col("id").alias("v"), F.col("text").alias("tv"))
     y = texts.select(F.col("id").alias("u"), F.col("text").alias("tu"))
     met = pairs.select("u", "v").join(x, "v").join(y, "u").select("u", "v", "tu", "tv")
-    return met.mapInArrow(run, f"u {kind}, v {kind}")
+    return mapped(met, run, f"u {kind}, v {kind}")
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geotable.llm import bpe
-from geotable.llm.common import batches, cut, text_or_empty
+from geotable.llm.common import batches, cut, mapped, text_or_empty
 
 #: Pieces of one length that one window group holds on average at most.
 ROWS_IN_BUCKET = 500_000
@@ -144,7 +144,7 @@ def pieces(df: DataFrame, path: str, window: int, end: int, key: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[0], pa.int32())), *[pa.array(c, pa.int64()) for c in rows[1:]]], names=["key", "start", "length", "ids_crc32", "doc_tokens"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(f"`{key}`").alias("key"), text_or_empty(f"`{text}`")).mapInArrow(run, f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return mapped(df.select(F.col(f"`{key}`").alias("key"), text_or_empty(f"`{text}`")), run, f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(df: DataFrame, path: str, window: int = 2048, end: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotable.llm.common import batches, text_or_empty
+from geotable.llm.common import batches, mapped, text_or_empty
 
 SENTENCE = re.compile(r"[^.!?\n|]+")
 WORD = re.compile(r"[^\W_]+")
@@ -44,7 +44,7 @@ class Model:
     def word(self, w: str) -> float:
         v = self.cache.get(w)
         if v is None:
-            if len(self.cache) > 300_000:
+            if len(self.cache) > 100_000:
                 self.cache.clear()
             v = self.cache[w] = sum(self.weights.get(f, 0.0) for f in features(w))
         return v
@@ -169,7 +169,7 @@ def scored(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = kept.drop("__text").schema
     for c, t in zip(new, ("double", "long", "long", "long", "double"), strict=True):
         schema = schema.add(c, t)
-    return kept.mapInArrow(run, schema)
+    return mapped(kept, run, schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str, threshold: float = 0.3) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotable.llm.common import batches
+from geotable.llm.common import batches, mapped
 
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 #: Words of hosts that label a URL as one to block (labels by distant supervision, as for any blocklist of words).
@@ -194,7 +194,7 @@ def judged(df: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | None
 
     kept = parsed.select(*[F.col(f"`{c}`") for c in own], "host", "path", "rule", "__said", u.alias("__url"), F.col("host").alias("__host"), F.col("path").alias("__path"), suffix_bucket(F.col("host")).alias("__b"))
     schema = kept.drop("__url", "__host", "__path", "__b").schema.add("score", "double")
-    out = kept.mapInArrow(run, schema)
+    out = mapped(kept, run, schema)
     verdict = F.coalesce(F.col("__said"), F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return out.withColumn("verdict", verdict).drop("__said")
 
