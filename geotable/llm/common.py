@@ -26,9 +26,9 @@ def mapped(df: DataFrame, run, schema) -> DataFrame:
     conf = df.sparkSession.conf
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
-        now = int("".join(c for c in conf.get(key, "0") if c.isdigit()) or 0)
+        now = int("".join(c for c in conf.get(key) or "" if c.isdigit()) or 0)
         if not 0 < now <= most:
-            conf.set(key, str(most))
+            conf.set(key, f"{most}b" if name == "maxBytesPerBatch" else str(most))
     return df.mapInArrow(run, schema)
 
 
