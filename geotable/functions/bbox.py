@@ -38,9 +38,9 @@ def intersects_sides(minx: Column, miny: Column, maxx: Column, maxy: Column, rec
 
 
 def intersects(box: Column | str, rect: Rect) -> Column:
-    """Whether a box meets a rectangle; a rectangle of zero size is a point query."""
+    """Whether a box meets a rectangle; a rectangle of zero size is a point query. Null for a null box, which filters take as no."""
     b = _col(box)
-    return F.coalesce(intersects_sides(*[b[s] for s in SIDES], rect), F.lit(False))
+    return intersects_sides(*[b[s] for s in SIDES], rect)
 
 
 def boxes_intersect(left: Column | str, right: Column | str) -> Column:

@@ -257,7 +257,7 @@ def polygon_n(geom: Column | str, n: int) -> Column:
 
 
 def _polygon_n(g: Column, n: int) -> Column:
-    p = part_n(geom, n)
+    p = part_n(g, n)
     return F.when(p.isNotNull(), F.struct(F.lit(POLYGON).cast("tinyint").alias("type"), F.array(p.withField("path", F.array().cast("array<int>")).withField("type", F.lit(POLYGON).cast("tinyint"))).alias("parts")))
 
 
