@@ -102,31 +102,29 @@ def leaves(df: DataFrame, extent: B.Rect | None = None, box: str = "bbox", fid:
 
 
 def level_up(nodes: DataFrame, node_size: int) -> DataFrame:
-    """The next level: each `node_size` consecutive nodes become one with the box around theirs."""
-    up = nodes.groupBy((F.floor(F.col("pos") / node_size)).cast("long").alias("__pos")).agg(*B.extent_columns("bbox"), F.min("pos").alias("first_child"), (F.first("level") + 1).alias("level"))
-    return up.select("level", F.col("__pos").alias("pos"), B.make("minx", "miny", "maxx", "maxy").alias("bbox"), "first_child")
+    """(pos, bbox, first_child) of the next level: each `node_size` consecutive nodes become one with the box around theirs."""
+    up = nodes.groupBy((F.floor(F.col("pos") / node_size)).cast("long").alias("__pos")).agg(*B.extent_columns("bbox"), F.min("pos").alias("first_child"))
+    return up.select(F.col("__pos").alias("pos"), B.make("minx", "miny", "maxx", "maxy").alias("bbox"), "first_child")
 
 
 def build(df: DataFrame, node_size: int = DEFAULT_NODE_SIZE, extent: B.Rect | None = None, box: str = "bbox", fid: str = "fid") -> DataFrame:
     """All nodes (level, pos, bbox, first_child); a leaf's first_child is its row's id. An empty table has no nodes."""
     check_node_size(node_size)
-    base = leaves(df, extent, box, fid).select(F.lit(0).alias("level"), "pos", F.col(box).alias("bbox"), F.col(fid).cast("long").alias("first_child"))
-    base = cut(base)  # every level above reads the one below
-    n = base.count()
-    if not n:
-        return base
-    out = level = base
-    for i, _ in enumerate(level_sizes(n, node_size)[1:]):
-        level = level_up(level, node_size)
-        level = cut(level) if i == 0 else level
-        out = out.union(level)
+    # each level is stored, as the one above reads it; its number stays a literal, so that a search plans just the level it asks for
+    level = cut(leaves(df, extent, box, fid).select("pos", F.col(box).alias("bbox"), F.col(fid).cast("long").alias("first_child")))
+    numbered = lambda d, i: d.select(F.lit(i).alias("level"), "pos", "bbox", "first_child")
+    n, out = level.count(), numbered(level, 0)
+    for i, _ in enumerate(level_sizes(n, node_size)[1:] if n else [], 1):
+        level = cut(level_up(level, node_size))
+        out = out.union(numbered(level, i))
     return out
 
 
 def search(nodes: DataFrame, rect: B.Rect, node_size: int = DEFAULT_NODE_SIZE) -> DataFrame:
     """(pos, fid) of the leaves whose box meets the rectangle, by descending through the levels.
 
-    Each level keeps the nodes that meet the rectangle and whose parent (pos div node_size) was kept.
+    Each level keeps the nodes that meet the rectangle and whose parent (pos div node_size) was kept; what an inner
+    level keeps is stored, so plans stay short.
     """
     check_node_size(node_size)
     top = nodes.agg(F.max("level")).first()[0]
@@ -136,7 +134,7 @@ def search(nodes: DataFrame, rect: B.Rect, node_size: int = DEFAULT_NODE_SIZE) -
         if kept is not None:
             parents = kept.select(F.col("pos").alias("__parent"))
             here = here.join(parents, F.floor(F.col("pos") / node_size).cast("long") == F.col("__parent"), "left_semi")
-        kept = here
+        kept = cut(here.select("pos", "first_child")) if level else here
     return kept.select("pos", F.col("first_child").alias("fid"))
 
 

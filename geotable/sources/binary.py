@@ -45,38 +45,12 @@ from pyspark.sql.datasource import (
 
 from geotable.functions import bbox as B
 from geotable.functions import geometry as G
+from geotable.functions.ddl import data_type, fields_of
 from geotable.operators import index as X
 from geotable.operators.lifecycle import ATTRIBUTES, attribute_code
 from geotable.sources import layout as L
 
 ROWS = 4096
-_SIMPLE = {
-    "boolean": T.BooleanType(), "tinyint": T.ByteType(), "smallint": T.ShortType(), "int": T.IntegerType(), "bigint": T.LongType(), "long": T.LongType(), "float": T.FloatType(),
-    "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType(), "decimal(20,0)": T.DecimalType(20, 0),
-}
-
-
-def data_type(text: str) -> T.DataType:
-    """A type from its short text; the process that describes a source has no JVM to parse it."""
-    text = text.strip()
-    if text.startswith("array<"):
-        return T.ArrayType(data_type(text[6:-1]))
-    if text.startswith("struct<"):
-        return fields_of(text[7:-1], ":")
-    return _SIMPLE[text]
-
-
-def fields_of(text: str, mark: str = " ") -> T.StructType:
-    """A struct from "name type, ..." (or with colons)."""
-    out, depth, start = T.StructType(), 0, 0
-    for i, c in enumerate(text + ","):
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and not depth:
-            name, _, kind = text[start:i].strip().partition(mark)
-            out.add(name, data_type(kind))
-            start = i + 1
-    return out
-
 GAP = 256 * 1024
 SPLIT = 64 << 20
 
