@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +30,21 @@ def mapped(df: DataFrame, run, schema) -> DataFrame:
         now = int("".join(c for c in conf.get(key) or "" if c.isdigit()) or 0)
         if not 0 < now <= most:
             conf.set(key, f"{most}b" if name == "maxBytesPerBatch" else str(most))
-    return df.mapInArrow(run, schema)
+
+    def freeing(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(it)
+        freed()
+
+    return df.mapInArrow(freeing, schema)
+
+
+def freed() -> None:
+    """Give a finished task's memory back to the system: workers live on for the next stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def text_or_empty(name: str = "text") -> Column:
