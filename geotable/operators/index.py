@@ -81,24 +81,23 @@ def clustered(df: DataFrame, partitions: int, extent: B.Rect | None = None, box:
     return h.repartitionByRange(partitions, F.col("hilbert").desc(), F.col(fid).asc()).sortWithinPartitions(F.col("hilbert").desc(), F.col(fid).asc())
 
 
-def global_rank(df: DataFrame, order: list[Column], coarse: Column, name: str) -> DataFrame:
+def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """`df` with `name`, the 0-based rank in `order`, without a single-partition sort.
 
-    `coarse` is an integer that never falls along `order` and has a bounded number of values: groups are
-    counted, counts are summed up to bases, and rows are numbered within their group.
+    Rows are range-partitioned by the whole order, so a crowded spot is spread like any other, and stored
+    with their partition's number, which rises along the order. Partitions are counted, the counts are summed up to
+    bases (one row a partition), and rows are numbered within their partition.
     """
-    grouped = df.withColumn("__group", coarse)
-    counts = grouped.groupBy("__group").agg(F.count(F.lit(1)).alias("__n"))
-    base = counts.select("__group", (F.sum("__n").over(Window.orderBy("__group")) - F.col("__n")).alias("__base"))  # one row a group, bounded
+    ranged = cut(df.repartitionByRange(*order).withColumn("__group", F.spark_partition_id()))
+    counts = ranged.groupBy("__group").agg(F.count(F.lit(1)).alias("__n"))
+    base = counts.select("__group", (F.sum("__n").over(Window.orderBy("__group")) - F.col("__n")).alias("__base"))
     own = F.row_number().over(Window.partitionBy("__group").orderBy(*order))
-    return grouped.withColumn("__row", own).join(F.broadcast(base), "__group").withColumn(name, (F.col("__base") + F.col("__row") - 1).cast("long")).drop("__group", "__row", "__base")
+    return ranged.withColumn("__row", own).join(F.broadcast(base), "__group").withColumn(name, (F.col("__base") + F.col("__row") - 1).cast("long")).drop("__group", "__row", "__base")
 
 
 def leaves(df: DataFrame, extent: B.Rect | None = None, box: str = "bbox", fid: str = "fid") -> DataFrame:
     """`df` with `hilbert` and `pos`, the place of each row among the tree's leaves (descending curve index, then id)."""
-    coded = with_hilbert(df, extent, box)
-    # 2^16 groups of the curve, in falling order: blocks of the plane, each with a 65536th of the area
-    return global_rank(coded, [F.col("hilbert").desc(), F.col(fid).asc()], F.lit(65535) - F.shiftright("hilbert", 16), "pos")
+    return global_rank(with_hilbert(df, extent, box), [F.col("hilbert").desc(), F.col(fid).asc()], "pos")
 
 
 def level_up(nodes: DataFrame, node_size: int) -> DataFrame:
@@ -111,7 +110,7 @@ def build(df: DataFrame, node_size: int = DEFAULT_NODE_SIZE, extent: B.Rect | No
     """All nodes (level, pos, bbox, first_child); a leaf's first_child is its row's id. An empty table has no nodes."""
     check_node_size(node_size)
     # each level is stored, as the one above reads it; its number stays a literal, so that a search plans just the level it asks for
-    level = cut(leaves(df, extent, box, fid).select("pos", F.col(box).alias("bbox"), F.col(fid).cast("long").alias("first_child")))
+    level = cut(leaves(df.select(fid, box), extent, box, fid).select("pos", F.col(box).alias("bbox"), F.col(fid).cast("long").alias("first_child")))
     numbered = lambda d, i: d.select(F.lit(i).alias("level"), "pos", "bbox", "first_child")
     n, out = level.count(), numbered(level, 0)
     for i, _ in enumerate(level_sizes(n, node_size)[1:] if n else [], 1):

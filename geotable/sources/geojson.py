@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geotable.functions import geometry as G
+from geotable.operators.index import global_rank
 from geotable.operators.lifecycle import attributes
 
 
@@ -20,31 +21,25 @@ def read(spark: SparkSession, path: str, properties: str | T.StructType | None =
     """
     raw = spark.read.text(path, wholetext=not lines).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     if lines:
-        rows = raw.where(F.trim("value") != "").withColumn("at", F.monotonically_increasing_id()).select("file", "at", F.col("value").alias("feature"))
+        rows = raw.where(F.trim("value") != "").withColumn("at", F.monotonically_increasing_id()).select("file", "block", "at", F.col("value").alias("feature"))
     else:
         items = F.from_json(F.get_json_object("value", "$.features"), "array<string>")
         one = F.when(F.get_json_object("value", "$.type") == "Feature", F.array("value"))
-        rows = raw.select("file", F.posexplode(F.coalesce(items, one)).alias("at", "feature"))
+        rows = raw.select("file", "block", F.posexplode(F.coalesce(items, one)).alias("at", "feature"))
     feature = F.col("feature")
-    rows = rows.select("file", "at", G.from_geojson(F.get_json_object(feature, "$.geometry")).alias("geometry"), F.get_json_object(feature, "$.properties").alias("p"))
+    rows = rows.select("file", "block", "at", G.from_geojson(F.get_json_object(feature, "$.geometry")).alias("geometry"), F.get_json_object(feature, "$.properties").alias("p"))
     if properties is None:
         known = rows.where("p is not null").select("p")
         known = known.limit(1) if infer == "first_row" else known
         inferred = spark.read.json(known.select(F.col("p").alias("value")).rdd.map(lambda r: r["value"])).schema if known.head(1) else T.StructType()
         properties = inferred
     kind = T._parse_datatype_string(properties) if isinstance(properties, str) else properties
-    out = rows.withColumn("fid", F.row_number().over(_order()).cast("long") - 1) if not lines else rows.withColumn("fid", F.col("at").cast("long"))
+    out = global_rank(rows, [F.col("file"), F.col("block"), F.col("at")], "fid")
     if not kind.fields:
         return out.select("fid", G.bbox("geometry").alias("bbox"), "geometry")
     return out.withColumn("p", F.from_json("p", kind)).select("fid", G.bbox("geometry").alias("bbox"), "geometry", "p.*")
 
 
-def _order():
-    from pyspark.sql.window import Window
-
-    return Window.orderBy("file", "at")  # collections are read whole by one task anyway; lines take ids that need no order
-
-
 def features(df: DataFrame) -> DataFrame:
     """One column `value`: each row as a GeoJSON feature."""
     names = [f.name for f in attributes(df)]

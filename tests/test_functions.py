@@ -148,3 +148,11 @@ def test_types(spark):
 def test_svg(spark):
     got = spark.range(1).select(G.to_svg(G.from_geojson(F.lit(SHAPES[2])), invert_y=True).alias("s")).first().s
     assert got == '<path d="M 1 -2 L 3 -4.5"/>'
+
+
+def test_views_of_text(spark):
+    from geotable.functions import attributes as A
+
+    df = rows(spark, [('{"a": {"b": 5}}', "2020-02-29T12:34:56Z"), ("X", "no time"), (None, None)], "j string, t string")
+    got = df.select(A.json_value("j", "$.a.b", "int").alias("v"), A.time_text(A.time_view("t")).alias("t"), A.json_view("j").isNull().alias("n")).collect()
+    assert [tuple(r) for r in got] == [(5, "2020-02-29T12:34:56.000000Z", False), (None, None, True), (None, None, True)]
