@@ -111,9 +111,11 @@ def matched(ranked: DataFrame, templates: list[dict]) -> DataFrame:
 
     Near relatives reach each other's threshold, so a block has the labels of the template that it holds most of.
     """
-    spark = ranked.sparkSession
-    rows = [(t["id"], t["label"], t["ranks"], t["need"], r, i) for t in templates for i, r in enumerate(t["prefix"])]
-    table = F.broadcast(spark.createDataFrame(rows, "id int, label string, ranks array<int>, need int, rank int, i int"))  # as many rows as the templates have prefix words
+    one = lambda t, r, i: F.struct(
+        F.lit(t["id"]).alias("id"), F.lit(t["label"]).alias("label"), F.array(*map(F.lit, t["ranks"])).alias("ranks"), F.lit(t["need"]).alias("need"), F.lit(r).alias("rank"), F.lit(i).alias("i")
+    )
+    rows = F.array(*[one(t, r, i) for t in templates for i, r in enumerate(t["prefix"])])
+    table = F.broadcast(ranked.sparkSession.range(1).select(F.inline(rows)))  # as many rows as the templates have prefix words
     words = ranked.distinct().select("block", F.posexplode("block").alias("j", "rank"))
     left = F.least(F.size("ranks") - F.col("i"), F.size("block") - F.col("j"))
     met = words.join(table, "rank").where((F.size("block") >= F.col("need")) & (left >= F.col("need") - (F.least("i", "j"))))
