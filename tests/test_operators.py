@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -132,3 +133,14 @@ def test_lifecycle(spark):
 def test_properties_leave_nulls_out(spark):
     df = spark.createDataFrame([(1, "a", None), (2, None, 3)], "fid int, s string, n int")
     assert [r.m for r in df.select(L.properties(df).alias("m")).collect()] == [{"s": "a"}, {"n": "3"}]
+
+
+def test_cut_tables_are_swept(spark):
+    from geotable.operators import storage
+
+    df = storage.cut(spark.range(5).toDF("id"))
+    assert df.count() == 5
+    path = storage._written[-1].removeprefix("file://")
+    assert os.path.isdir(path)
+    storage.sweep(spark)
+    assert not os.path.exists(path) and storage._written == []
