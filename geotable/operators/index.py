@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from geotable.functions import bbox as B
 from geotable.functions import hilbert as H
-from geotable.operators.storage import cut
+from geotable.operators.storage import cut, ranged
 
 NODE_BYTES = 40
 DEFAULT_NODE_SIZE = 16
@@ -88,11 +88,11 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     with their partition's number, which rises along the order. Partitions are counted, the counts are summed up to
     bases (one row a partition), and rows are numbered within their partition.
     """
-    ranged = cut(df.repartitionByRange(*order).withColumn("__group", F.spark_partition_id()))
-    counts = ranged.groupBy("__group").agg(F.count(F.lit(1)).alias("__n"))
+    rows = ranged(df, order)
+    counts = rows.groupBy("__group").agg(F.count(F.lit(1)).alias("__n"))
     base = counts.select("__group", (F.sum("__n").over(Window.orderBy("__group")) - F.col("__n")).alias("__base"))
     own = F.row_number().over(Window.partitionBy("__group").orderBy(*order))
-    return ranged.withColumn("__row", own).join(F.broadcast(base), "__group").withColumn(name, (F.col("__base") + F.col("__row") - 1).cast("long")).drop("__group", "__row", "__base")
+    return rows.withColumn("__row", own).join(F.broadcast(base), "__group").withColumn(name, (F.col("__base") + F.col("__row") - 1).cast("long")).drop("__group", "__row", "__base")
 
 
 def leaves(df: DataFrame, extent: B.Rect | None = None, box: str = "bbox", fid: str = "fid") -> DataFrame:

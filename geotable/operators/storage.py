@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: What this process has written, for sweep().
@@ -36,6 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ranged(df: DataFrame, order: list) -> DataFrame:
+    """`df` range-partitioned by the whole `order` and stored, with __group, the partition's number, which rises along the order.
+
+    Ranges are sampled, so a crowded value is split as long as `order` tells its rows apart; a group is one task's share.
+    """
+    return cut(df.repartitionByRange(*order).withColumn("__group", F.spark_partition_id()))
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete what cut() has written in this process; to be called when no DataFrame that reads it is needed any more."""
     jvm = spark._jvm

@@ -299,7 +299,7 @@ def tile_load(spark, sf_dir):
 @query("feature_offsets", "SELECT doc_id AS fid, n_chars AS size, COALESCE(CAST(SUM(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS \"offset\" FROM documents")
 def feature_offsets(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("fid"), F.col("n_chars").alias("size"))
-    return N.offsets_grouped(d, ["fid"], F.floor(F.col("fid") / 1000)).select("fid", "size", "offset")
+    return N.offsets_wide(d, ["fid"]).select("fid", "size", "offset")
 
 
 _OFFSETS = "SELECT doc_id AS pos, COALESCE(CAST(SUM(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS start FROM documents"
@@ -308,7 +308,7 @@ _OFFSETS = "SELECT doc_id AS pos, COALESCE(CAST(SUM(n_chars) OVER (ORDER BY doc_
 @query("feature_lengths", f"SELECT pos, LEAD(start) OVER (ORDER BY pos) - start AS length FROM ({_OFFSETS}) o")
 def feature_lengths(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("n_chars").alias("size"))
-    return N.lengths(N.offsets(d, ["pos"])).select("pos", "length")
+    return N.lengths_wide(N.offsets_wide(d, ["pos"])).select("pos", "length")
 
 
 _LEN = f"SELECT pos, start, LEAD(start) OVER (ORDER BY pos) - start AS length FROM ({_OFFSETS}) o"
@@ -320,13 +320,13 @@ _BATCH = f"""SELECT pos, start, length, SUM(fresh) OVER (ORDER BY start ROWS UNB
 @query("gap_batches", f"SELECT CAST(batch AS BIGINT) AS batch, MIN(start) AS \"start\", MAX(start + COALESCE(length, 4)) AS \"end\", COUNT(*) AS ranges FROM ({_BATCH}) b GROUP BY batch")
 def gap_batches(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("n_chars").alias("size"))
-    hits = N.lengths(N.offsets(d, ["pos"])).where("pos % 3 = 0")
+    hits = N.lengths_wide(N.offsets_wide(d, ["pos"])).where("pos % 3 = 0")
     return N.batches(hits, gap=4096).select("batch", "start", "end", "ranges")
 
 
 @query("ordinal_ids", "SELECT event_id, ROW_NUMBER() OVER (ORDER BY ts, event_id) - 1 AS fid FROM events")
 def ordinal_ids(spark, sf_dir):
-    return N.ordinal(table(spark, sf_dir, "events").select("ts", "event_id"), ["ts", "event_id"]).select("event_id", "fid")
+    return X.global_rank(table(spark, sf_dir, "events").select("ts", "event_id"), [F.col("ts"), F.col("event_id")], "fid").select("event_id", "fid")
 
 
 # -- counting, skipping, describing --------------------------------------------------------------

@@ -103,8 +103,19 @@ def test_windows(spark):
     off = N.offsets(df, ["pos"])
     assert [r.offset for r in off.orderBy("pos").collect()] == [0, 10, 30]
     assert [r.length for r in N.lengths(off).orderBy("pos").collect()] == [10, 20, None]
-    grouped = N.offsets_grouped(df, ["pos"], F.floor(F.col("pos") / 2))
-    assert [r.offset for r in grouped.orderBy("pos").collect()] == [0, 10, 30]
+
+
+def test_wide_windows_equal_plain_ones(spark):
+    r = random.Random(7)
+    df = spark.createDataFrame([(i, r.randrange(1, 400)) for i in range(300)], "pos long, size long").repartition(3)
+    key = lambda d, *c: sorted(tuple(x) for x in d.select(*c).collect())
+    assert key(N.offsets_wide(df, ["pos"]), "pos", "offset") == key(N.offsets(df, ["pos"]), "pos", "offset")
+    laid = N.offsets(df, ["pos"])
+    assert key(N.lengths_wide(laid).fillna(-1), "pos", "length") == key(N.lengths(laid).fillna(-1), "pos", "length")
+    some = N.lengths(laid).where("pos % 3 = 0")
+    assert key(N.batched_wide(some, gap=300), "pos", "batch") == key(N.batched(some, gap=300), "pos", "batch")
+    for wide in (N.offsets_wide(df.limit(0), ["pos"]), N.lengths_wide(laid.limit(0)), N.batched_wide(some.limit(0))):
+        assert wide.count() == 0
 
 
 def test_batches_split_only_beyond_the_gap(spark):
