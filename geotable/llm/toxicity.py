@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotable.llm.common import batches, mapped, text_or_empty
+from geotable.llm.common import batches, freed, mapped, text_or_empty
 
 SENTENCE = re.compile(r"[^.!?\n|]+")
 WORD = re.compile(r"[^\W_]+")
@@ -141,7 +141,10 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = 3000, key: str = "do
     rows = docs.select(F.col(f"`{key}`").alias("__id"), text_or_empty(f"`{text}`").alias("__text")).join(F.broadcast(chosen.withColumnRenamed(key, "__id")), "__id")
     got = sorted((tuple(r) for r in rows.select("__id", "__text", "__y").orderBy(F.xxhash64("__id"), "__id", F.xxhash64("__text")).limit(2 * most).collect()), key=lambda r: (r[0], r[1]))
     of = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return fit([r[1] for r in got], [r[2] for r in got], weights=tuple(max(1.0, of.get(v, 0) / most) for v in (0, 1)))
+    model = fit([r[1] for r in got], [r[2] for r in got], weights=tuple(max(1.0, of.get(v, 0) / most) for v in (0, 1)))
+    del got
+    freed()
+    return model
 
 
 def scored(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
