@@ -3,53 +3,63 @@
 Catalyst plans a join on a box condition as a nested loop. Here both sides are cut by a grid, meet by
 cell (an equi-join, so it shuffles, broadcasts and splits skewed cells like any other), and a pair is kept in just
 one of the cells it shares: the one that holds the lower left corner of the pair's overlap.
+
+Grids come in levels of doubling cells. A box lives on the level whose cells are no smaller than it, so it
+covers four cells at most, and is shown on all coarser levels that are in use; a pair meets on the level
+of its larger box. So a box of the whole world costs no more than any other.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geotable.functions import bbox as B
 from geotable.functions import geometry as G
 
-#: Cells a box may cover on the grid of its level; larger boxes go to coarser levels.
 WORLD = 2 * math.pi * G.RADIUS
 
 
-def _cells(df: DataFrame, box: str, size: float, x0: float, y0: float, tag: str) -> DataFrame:
+def _cells(df: DataFrame, box: str, size: float, top: int, x0: float, y0: float, tag: str) -> DataFrame:
     b = F.col(box)
-    lo = lambda c, o: F.floor((c - F.lit(o)) / F.lit(size)).cast("long")
     clean = b.isNotNull() & ~F.isnan(b["maxx"]) & ~F.isnan(b["maxy"]) & ~F.isnan(b["minx"]) & ~F.isnan(b["miny"]) & (b["minx"] <= b["maxx"]) & (b["miny"] <= b["maxy"])
-    xs, ys = F.sequence(lo(b["minx"], x0), lo(b["maxx"], x0)), F.sequence(lo(b["miny"], y0), lo(b["maxy"], y0))
-    return df.where(clean).withColumn(f"__x{tag}", F.explode(xs)).withColumn(f"__y{tag}", F.explode(ys))
+    side = F.greatest(B.width(box), B.height(box))
+    own = F.when(side <= size, F.lit(0)).otherwise(F.least(F.ceil(F.log2(side / F.lit(size))), F.lit(top))).cast("int")
+    rows = df.where(clean).withColumn(f"__own{tag}", own).withColumn(f"__level{tag}", F.explode(F.sequence(F.col(f"__own{tag}"), F.lit(top))))
+    at = lambda c, o: _cell(c, o, size, F.col(f"__level{tag}"))
+    xs, ys = F.sequence(at(b["minx"], x0), at(b["maxx"], x0)), F.sequence(at(b["miny"], y0), at(b["maxy"], y0))
+    return rows.withColumn(f"__x{tag}", F.explode(xs)).withColumn(f"__y{tag}", F.explode(ys))
+
+
+def _cell(c: Column, low: float, size: float, level: Column) -> Column:
+    return F.floor((c - F.lit(low)) / (F.lit(size) * F.pow(F.lit(2.0), level))).cast("long")
 
 
 def box_join(left: DataFrame, right: DataFrame, left_box: str = "bbox", right_box: str = "bbox2", cell: float | None = None) -> DataFrame:
     """Pairs of rows whose boxes meet, each pair once. Column names of the two sides must differ.
 
-    `cell` is the grid's cell size; by default twice the mean side of all boxes, but at least a 4096th of
-    the extent, so that a box covers few cells. Null, NaN and inverted boxes meet nothing. Boxes far larger than the mean cover many cells: their number is
-    bounded by the extent over the cell size in each axis.
+    `cell` is the finest grid's cell size; by default twice the mean side of all boxes, but at least a 4096th of
+    the extent. Null, NaN and inverted boxes meet nothing.
     """
     sides = [df.select(F.col(b).alias("b")) for df, b in ((left, left_box), (right, right_box))]
-    both = sides[0].unionByName(sides[1])
-    row = both.agg(*B.extent_columns("b"), F.avg(B.width("b") + B.height("b")).alias("mean")).first()
-    if row["minx"] is None:
-        x0 = y0 = 0.0
-        size = 1.0
-    else:
+    largest = F.max(F.nanvl(F.greatest(B.width("b"), B.height("b")), F.lit(None))).alias("largest")
+    mean = F.avg(F.nanvl(B.width("b") + B.height("b"), F.lit(None))).alias("mean")
+    row = sides[0].unionByName(sides[1]).agg(*B.extent_columns("b"), mean, largest).first()
+    x0, y0, size, top = 0.0, 0.0, 1.0, 0
+    if row["minx"] is not None and row["largest"] is not None:
         x0, y0 = row["minx"], row["miny"]
         span = max(row["maxx"] - x0, row["maxy"] - y0, 1e-9)
-        size = cell or max(row["mean"] if row["mean"] == row["mean"] else span, span / 4096, 1e-9)
-    a, b = _cells(left, left_box, size, x0, y0, "a"), _cells(right, right_box, size, x0, y0, "b")
-    la, rb = F.col(left_box), F.col(right_box)
-    corner = lambda side, o: F.floor((F.greatest(la[side], rb[side]) - F.lit(o)) / F.lit(size)).cast("long")
-    own = (F.col("__xa") == corner("minx", x0)) & (F.col("__ya") == corner("miny", y0))
-    met = a.join(b, (F.col("__xa") == F.col("__xb")) & (F.col("__ya") == F.col("__yb")) & B.boxes_intersect(left_box, right_box) & own)
-    return met.drop("__xa", "__ya", "__xb", "__yb")
+        size = cell or max(row["mean"], span / 4096)
+        top = max(0, math.ceil(math.log2(max(row["largest"], size) / size)))
+    a, b = _cells(left, left_box, size, top, x0, y0, "a"), _cells(right, right_box, size, top, x0, y0, "b")
+    la, rb, level = F.col(left_box), F.col(right_box), F.col("__levela")
+    corner = lambda side, o: _cell(F.greatest(la[side], rb[side]), o, size, level)
+    same = (level == F.col("__levelb")) & (F.col("__xa") == F.col("__xb")) & (F.col("__ya") == F.col("__yb"))
+    home = level == F.greatest("__owna", "__ownb")
+    met = a.join(b, same & home & B.boxes_intersect(left_box, right_box) & (F.col("__xa") == corner("minx", x0)) & (F.col("__ya") == corner("miny", y0)))
+    return met.drop(*[f"__{n}{t}" for n in ("own", "level", "x", "y") for t in "ab"])
 
 
 def tile_rect(z: int, x: int, y: int, srid: int = 4326) -> B.Rect:

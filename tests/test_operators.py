@@ -85,6 +85,16 @@ def test_box_join_equals_brute_force(spark):
     assert "NestedLoop" not in joined and "Cartesian" not in joined
 
 
+def test_box_join_of_very_different_sizes(spark):
+    a, left = random_boxes(spark, 60, 4, size=0.01)
+    b, right = random_boxes(spark, 20, 5, size=5.0)
+    world = (99, -1000.0, -1000.0, 1000.0, 1000.0)
+    right = right.union(spark.createDataFrame([world], "fid long, a double, b double, c double, d double").select("fid", B.make("a", "b", "c", "d").alias("bbox")))
+    right = right.select(F.col("fid").alias("other"), F.col("bbox").alias("bbox2"))
+    got = sorted((r.fid, r.other) for r in J.box_join(left, right).select("fid", "other").collect())
+    assert got == sorted((x[0], y[0]) for x in a for y in [*b, world] if meets(x, y[1:]))
+
+
 def test_box_join_with_bad_boxes(spark):
     _, left = random_boxes(spark, 5)
     nan = spark.createDataFrame([(1, float("nan")), (2, None)], "other int, v double").select("other", B.make("v", "v", "v", "v").alias("bbox2"))
