@@ -149,9 +149,11 @@ def every(flat: Column, stride: int, offset: int) -> Column:
     return F.filter(flat, lambda _, i: i % stride == offset)
 
 
-def deinterleaved(flat: Column, stride: int) -> Column:
-    """struct<xy, z, m> of a flat array with `stride` ordinates a point."""
+def deinterleaved(flat: Column, stride: int, third: str = "z") -> Column:
+    """struct<xy, z, m> of a flat array with `stride` ordinates a point; of three, the third is z, or m."""
     none = F.lit(None).cast("array<double>")
+    if stride == 3 and third == "m":
+        return F.struct(F.filter(flat, lambda _, i: i % 3 < 2).alias("xy"), none.alias("z"), every(flat, 3, 2).alias("m"))
     return F.struct(
         F.filter(flat, lambda _, i: i % stride < 2).alias("xy"), (every(flat, stride, 2) if stride > 2 else none).alias("z"), (every(flat, stride, 3) if stride > 3 else none).alias("m")
     )
@@ -356,6 +358,18 @@ def _join(a: Column, f, sep: str = ", ", left: str = "(", right: str = ")") -> C
     return F.concat(F.lit(left), F.array_join(F.transform(a, f), sep), F.lit(right))
 
 
+def _members(g: Column) -> Column:
+    """A collection's members, each as an array of its parts."""
+    places = F.array_distinct(F.transform(g["parts"], lambda p: F.get(p["path"], F.lit(0))))
+    return F.transform(places, lambda i: F.filter(g["parts"], lambda p: F.get(p["path"], F.lit(0)) == i))
+
+
+def _by_kind(m: Column, one: Callable, polygons: Callable, inner: Callable) -> Column:
+    """A member as a simple geometry, a MultiPolygon (polygons below it), or a collection within the collection."""
+    deep = F.exists(m, lambda p: F.size(p["path"]) > 1)
+    return F.when(~deep, one(F.get(m, F.lit(0)))).when(F.forall(m, lambda p: p["type"] == POLYGON), polygons(m)).otherwise(inner(m))
+
+
 def _wkt_part(p: Column) -> Column:
     """A part's coordinates in brackets, as its own type writes them."""
     pt = lambda c: F.array_join(F.transform(c, number), " ")
@@ -379,7 +393,10 @@ def _to_wkt(g: Column) -> Column:
     body = F.get(g["parts"], F.lit(0))
     plain = F.concat(_tag(g["type"], dim3), _wkt_part(body.withField("type", g["type"])))
     bare = F.concat(_tag(g["type"], dim3), _join(g["parts"], lambda p: _wkt_part(p.withField("type", F.when(p["type"] == 0, F.lit(POLYGON)).otherwise(p["type"])))))
-    named = F.concat(_tag(g["type"], dim3), _join(g["parts"], lambda p: F.concat(_tag(p["type"], dim3), _wkt_part(p))))
+    one = lambda p: F.concat(_tag(p["type"], dim3), _wkt_part(p))
+    polygons = lambda m: F.concat(_tag(F.lit(MULTIPOLYGON), dim3), _join(m, _wkt_part))
+    inner = lambda m: F.concat(_tag(F.lit(COLLECTION), dim3), _join(m, one))
+    named = F.concat(_tag(g["type"], dim3), _join(_members(g), lambda m: _by_kind(m, one, polygons, inner)))
     empty = F.concat(F.upper(type_name(g["type"])), F.lit(" EMPTY"))
     return F.when(g.isNull(), F.lit(None)).when(n_points(g) == 0, empty).when(g["type"].isin(6, 15, 16), bare).when(g["type"].isin(7, 9, 10, 11, 12), named).otherwise(plain)
 
@@ -404,19 +421,27 @@ def _to_geojson(g: Column) -> Column:
     wrap = lambda code, coords: F.concat(F.lit('{"type":"'), type_name(code), F.lit('","coordinates":'), coords, F.lit("}"))
     plain = wrap(g["type"], _json_part(F.get(g["parts"], F.lit(0)).withField("type", g["type"])))
     multi = wrap(g["type"], _join(g["parts"], lambda p: _json_part(p.withField("type", F.lit(POLYGON).cast("tinyint"))), ",", "[", "]"))
-    members = F.concat(F.lit('{"type":"GeometryCollection","geometries":'), _join(g["parts"], lambda p: wrap(p["type"], _json_part(p)), ",", "[", "]"), F.lit("}"))
+    one = lambda p: wrap(p["type"], _json_part(p))
+    polygons = lambda m: wrap(F.lit(MULTIPOLYGON), _join(m, _json_part, ",", "[", "]"))
+    gather = lambda inside: F.concat(F.lit('{"type":"GeometryCollection","geometries":'), inside, F.lit("}"))
+    inner = lambda m: gather(_join(m, one, ",", "[", "]"))
+    members = gather(_join(_members(g), lambda m: _by_kind(m, one, polygons, inner), ",", "[", "]"))
     return F.when(g.isNull(), F.lit(None)).when(g["type"] == COLLECTION, members).when(g["type"] == MULTIPOLYGON, multi).otherwise(plain)
 
 
 def from_geojson(text: Column | str) -> Column:
-    """A geometry from GeoJSON text; null for null, for invalid text and for unknown types. Collections may hold all types but collections."""
-    return _let(text, _from_geojson)
+    """A geometry from GeoJSON text; null for null, for invalid text and for unknown types. Collections may hold collections, one level deep."""
+    return _let(text, lambda t: _from_geojson(t))
 
 
-def _from_geojson(t: Column) -> Column:
+def _from_geojson(t: Column, depth: int = 2) -> Column:
+    """Collections may nest `depth` deep; members that are no geometry are left out."""
     member = _member(t)
+    if not depth:
+        return member
     inner = F.from_json(F.get_json_object(t, "$.geometries"), "array<string>")
-    nested = F.flatten(F.transform(inner, lambda s, i: F.transform(_member(s)["parts"], lambda p: p.withField("path", F.concat(F.array(i), p["path"])))))
+    read = lambda s: F.coalesce(_let(s, lambda v: _from_geojson(v, depth - 1))["parts"], F.array().cast(f"array<{PART}>"))
+    nested = F.flatten(F.transform(inner, lambda s, i: F.transform(read(s), lambda p: p.withField("path", F.concat(F.array(i), p["path"])))))
     whole = F.struct(F.lit(COLLECTION).cast("tinyint").alias("type"), F.coalesce(nested, F.array().cast(f"array<{PART}>")).alias("parts"))
     return F.when(F.get_json_object(t, "$.type") == "GeometryCollection", whole).otherwise(member)
 

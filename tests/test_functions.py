@@ -20,6 +20,7 @@ SHAPES = [
     '{"type":"MultiLineString","coordinates":[[[1,2],[3,4]],[[5,6],[7,8]]]}',
     '{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[1,1],[0,0]]],[[[5,5],[6,5],[6,6],[5,5]],[[5,5],[5.5,5],[5.5,5.5],[5,5]]]]}',
     '{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[1,2]},{"type":"LineString","coordinates":[[1,2],[3,4]]}]}',
+    '{"type":"GeometryCollection","geometries":[{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[1,1],[0,0]]],[[[5,5],[6,5],[6,6],[5,5]]]]},{"type":"Point","coordinates":[1,2]},{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[3,4]},{"type":"LineString","coordinates":[[1,2],[3,4]]}]}]}',
 ]
 
 
@@ -83,6 +84,7 @@ def test_wkt(spark):
         "MULTILINESTRING ((1 2, 3 4), (5 6, 7 8))",
         "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5), (5 5, 5.5 5, 5.5 5.5, 5 5)))",
         "GEOMETRYCOLLECTION (POINT (1 2), LINESTRING (1 2, 3 4))",
+        "GEOMETRYCOLLECTION (MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5))), POINT (1 2), GEOMETRYCOLLECTION (POINT (3 4), LINESTRING (1 2, 3 4)))",
     ]
     promoted = [r.w for r in df.select(G.to_wkt(G.promoted("g")).alias("w")).collect()]
     assert promoted[2:4] == ["MULTILINESTRING ((1 2, 3 4.5))", "MULTIPOLYGON (((0 0, 10 0, 10 10, 0 0), (1 1, 2 1, 2 2, 1 1)))"]
