@@ -196,9 +196,11 @@ def read_geometry(t: Table, header_type: int) -> dict:
     """{type, parts} of a geometry; nested ones become parts with paths."""
     code = header_type or t.scalar(6, "<B", 0)
     parts: list[dict] = []
+    left = [len(t.buf) // 4]  # tables that the buffer has room for: parts that refer to each other end here
 
     def walk(t: Table, code: int, path: list[int]) -> None:
-        if len(path) > DEPTH_LIMIT:
+        left[0] -= 1
+        if len(path) > DEPTH_LIMIT or left[0] < 0:
             raise Malformed("geometries nest too deep")
         inner = t.tables(7) if code in NESTED else []
         if not inner:
