@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +33,8 @@ def read(spark: SparkSession, path: str, properties: str | T.StructType | None =
     if properties is None:
         known = rows.where("p is not null").select("p")
         known = known.limit(1) if infer == "first_row" else known
-        inferred = spark.read.json(known.select(F.col("p").alias("value")).rdd.map(lambda r: r["value"])).schema if known.head(1) else T.StructType()
+        found = known.agg(F.schema_of_variant_agg(F.try_parse_json("p"))).first()[0]
+        inferred = _as_struct(found) if found and found.startswith("OBJECT<") else T.StructType()
         properties = inferred
     kind = T._parse_datatype_string(properties) if isinstance(properties, str) else properties
     out = global_rank(rows, [F.col("file"), F.col("block"), F.col("at")], "fid")
@@ -40,6 +43,14 @@ def read(spark: SparkSession, path: str, properties: str | T.StructType | None =
     return out.withColumn("p", F.from_json("p", kind)).select("fid", G.bbox("geometry").alias("bbox"), "geometry", "p.*")
 
 
+def _as_struct(found: str) -> str:
+    """A variant's schema as a struct: whole numbers are bigint, others double, what has no type or several is text."""
+    parts = re.split(r"(`(?:[^`]|``)*`)", found)  # quoted names stay as they are
+    for i in range(0, len(parts), 2):
+        parts[i] = re.sub(r"DECIMAL\(\d+,\d+\)", "DOUBLE", re.sub(r"\b(VARIANT|VOID)\b(?!:)", "STRING", parts[i].replace("OBJECT<", "STRUCT<")))
+    return "".join(parts)
+
+
 def features(df: DataFrame) -> DataFrame:
     """One column `value`: each row as a GeoJSON feature."""
     names = [f.name for f in attributes(df)]

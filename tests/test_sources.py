@@ -178,6 +178,18 @@ def test_geojson_files(spark, tmp_path):
         assert {(r.name, r.v) for r in back.collect()} == {("n0", 0.5), ("n1", 1.5), ("n2", 2.5), (None, None)}
 
 
+def test_geojson_properties_of_many_types(spark, tmp_path):
+    props = [{"k": 1, "v": 1.5, "o": {"a": [1, 2]}, "w x": None, "VOID": 1}, {"k": "s", "v": 2, "w x": True, "a`b": 1, "VOID": 2}, {}]
+    feats = [{"type": "Feature", "geometry": None, "properties": p} for p in props] + [{"type": "Feature", "geometry": None, "properties": None}]
+    (tmp_path / "c.json").write_text(json.dumps({"type": "FeatureCollection", "features": feats}))
+    df = geojson.read(spark, str(tmp_path / "c.json"))
+    got = df.orderBy("fid").collect()
+    assert [r.k for r in got] == ["1", "s", None, None] and [r.v for r in got] == [1.5, 2.0, None, None]
+    assert got[0].o.a == [1, 2] and got[1]["w x"] is True and got[1]["a`b"] == 1 and got[1]["VOID"] == 2
+    assert geojson.read(spark, str(tmp_path / "c.json"), properties="v double").columns == ["fid", "bbox", "geometry", "v"]
+    assert geojson.read(spark, str(tmp_path / "c.json"), infer="first_row").orderBy("fid").first().k == 1
+
+
 def test_stream_takes_new_files_once(spark, tmp_path):
     src, sink, check = (str(tmp_path / n) for n in ("src", "sink", "check"))
     binary.write(grid(spark, 40).coalesce(1), src)
