@@ -27,7 +27,11 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 IDENTIFIER = r"""((?i:access|client|account|tenant|app|user)[_-]?(?i:key[_-]?id|id|name))["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{4,})"""
-LOOSE = r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z0-9+/]{0,63}[A-Z])(?=[A-Za-z0-9+/]{0,63}[a-z])(?=[A-Za-z0-9+/]{0,63}[0-9])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=_-])"
+# a run of 32 characters or more with capital, small letter and digit, also right after '='; no key before '=', no authority and path of an URL, no full stop at the end
+LOOSE = (
+    r"(?<![A-Za-z0-9+/_.-])(?!//(?<=(?:https?|jdbc:[a-z]{1,20}|s3|postgres|mysql|mongodb|redis|amqp)://))"
+    r"(?=[A-Za-z0-9+/_.-]*[A-Z])(?=[A-Za-z0-9+/_.-]*[a-z])(?=[A-Za-z0-9+/_.-]*[0-9])[A-Za-z0-9+/_.-]{31,}[A-Za-z0-9+/_-]={0,2}(?![A-Za-z0-9+/=_-])"
+)
 ENDPOINT = r"""(?:https?|jdbc:[a-z]+|s3|postgres|mysql|mongodb|redis|amqp)://[^\s"'<>]{4,}|((?i:endpoint|hostname|host|server|bucket))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]{4,}"""
 
 KINDS = ("assign", "access", "hex", "identifier", "loose", "endpoint")
@@ -74,11 +78,18 @@ def located(df: DataFrame, text: str) -> DataFrame:
         .withColumn("__h4", all_of(LOOSE, 0))
         .withColumn("__h5", all_of(ENDPOINT, 0))
         .withColumn("__v0", F.when(F.size("__h0") > 0, all_of(ASSIGN, 2)).otherwise(none))
+        .withColumn("__v5", F.when(F.size("__h5") > 0, all_of(ENDPOINT, 1)).otherwise(none))
     )
     out = out.withColumn("__base", F.concat(_found("assign", "__h0", "__v0", 6), _found("access", "__h1"), _found("hex", "__h2")))
     out = out.withColumn("__weak", F.concat(_found("identifier", "__h3"), _found("loose", "__h4"), _found("endpoint", "__h5")))
-    free = F.filter("__weak", lambda w: ~F.exists("__base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return out.withColumn("__weak", F.when(F.size("__weak") > 0, free).otherwise(F.col("__weak"))).drop(*[f"__h{i}" for i in range(6)], "__v0", "__text")
+    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    # a hexadecimal run is no more than a piece of a longer loose secret
+    piece = lambda w, b: (w["kind"] == "loose") & (b["kind"] == "hex") & ((w["start"] < b["start"]) | (b["end"] < w["end"]))
+    free = F.filter("__weak", lambda w: ~F.exists("__base", lambda b: meets(w, b) & ~piece(w, b)))
+    # the value of an identifier or of a named endpoint is no secret that completes it; one within an URL may be
+    named = F.concat(_found("identifier", "__h3"), _found("endpoint", "__h5", "__v5", 1))
+    free = F.filter(free, lambda w: (w["kind"] != "loose") | ~F.exists(named, lambda n: meets(w, n)))
+    return out.withColumn("__weak", F.when(F.size("__weak") > 0, free).otherwise(F.col("__weak"))).drop(*[f"__h{i}" for i in range(6)], "__v0", "__v5", "__text")
 
 
 def linked(parts: DataFrame) -> DataFrame:

@@ -299,6 +299,20 @@ def test_weak_parts_need_their_complement(spark):
     assert got[at + 11] == {"identifier", "loose"}  # in the next bin, but near
 
 
+def test_loose_secrets_of_every_form(spark):
+    aws = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    forms = [aws, "aB3/" * 21 + "aB==", "ghp_" + "aB3d" * 9, "eyJ0eXAi1." + "aB-3_d" * 6 + ".sIg-9", "aB3xYz9" * 1000, "aB3-" * 8 + "0a" * 14]
+    texts = [f"aws_access_key_id={KEY}\naws_secret_access_key={v}" for v in forms] + [f"client_id=alice.smith\nvalue={v}. End" for v in forms]
+    lone = [f"value={v}" for v in forms] + ["client_id=" + "aB3-" * 10, "host=" + "aB3-" * 10, "see https://Docs.example.org/Some/long-path/of-2020/page-1.html"]
+    got = {r.doc_id: r["__spans"] for r in secrets.secret_spans(docs(spark, [*texts, *lone])).collect()}
+    for i, t in enumerate(texts):
+        v = forms[i % len(forms)]
+        assert (t.index(v), t.index(v) + len(v)) in {(s.start, s.end) for s in got[i] if s.kind == "loose"}, t[:200]
+    assert all(s.kind == "hex" for i in range(len(lone)) for s in got[len(texts) + i])
+    clean = {r.doc_id: r.text for r in secrets.redacted(docs(spark, texts)).collect()}
+    assert not any(forms[i % len(forms)] in t for i, t in clean.items())
+
+
 def test_linking_equals_all_pairs(spark):
     rng = random.Random(8)
     kinds = list(secrets.SORT)
