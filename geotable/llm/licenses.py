@@ -1,6 +1,6 @@
 """License scan by an exact set-similarity join, in DataFrame operations alone.
 
-Text blocks (sentences and lines) are matched against license templates: a block has a template's label
+Text blocks (sentences of lines, and of paragraphs whatever their line ends) are matched against license templates: a block has a template's label
 when it holds at least CONTAINMENT of the template's distinct words. The templates' words are ordered by
 their frequency over all documents, rarest first. A block that reaches need = ceil(CONTAINMENT * size) of a
 template's words has one of its first size - need + 1, the prefix (prefix filter); it has at least `need`
@@ -102,8 +102,11 @@ def ordered(templates: list[tuple[str, str]], seen: dict[str, int], containment:
 
 
 def blocks(text: Column) -> Column:
-    """Sentences and lines of a text."""
-    return F.split(text, r"[.!?]+(?=\s|$)|[\n\r|]")
+    """Sentences of a text's lines, and those of its paragraphs, where a single line end is a blank (so wrapped ones are whole)."""
+    cuts = r"[.!?]+(?=\s|$)|[\n\r|]"
+    # blank lines part paragraphs
+    whole = F.translate(F.regexp_replace(text, r"(?>\r\n|[\n\r])(?:[ \t]*+(?>\r\n|[\n\r]))+", "|"), "\n\r", "  ")
+    return F.concat(F.split(text, cuts), F.when(text.rlike(r"[\n\r]"), F.split(whole, cuts)).otherwise(F.expr("CAST(array() AS array<string>)")))
 
 
 def matched(ranked: DataFrame, templates: list[dict]) -> DataFrame:

@@ -380,6 +380,22 @@ def test_licenses_equal_brute_force(spark):
     assert LI.license_labels(docs(spark, [])).count() == 0
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\n   purpose with or without fee is hereby granted",
+    "gpl,gpl-2.0": "You can redistribute it and/or modify\r\nit under the terms of the GNU General Public License as published by\r\nthe Free Software Foundation",
+}
+
+
+def test_wrapped_licenses(spark):
+    texts = [f"Head\n\n{t}. More\nof it" for t in WRAPPED.values()]
+    parted = [t.replace("\n", "\n \t\n") for t in list(WRAPPED.values())[:3]]
+    got = {r.doc_id: r.labels for r in LI.license_labels(docs(spark, [*texts, *parted])).collect()}
+    assert [got[i] for i in range(len(texts))] == list(WRAPPED)
+    assert all(got[len(texts) + i] == "" for i in range(len(parted)))
+
+
 # -- 9 -------------------------------------------------------------------------------------------
 
 
