@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning: documents have labels, sentences get scores.
 
 A document is a bag of sentences. Each sentence has a logistic score over its words and the words'
-first letters; the document's score is their noisy-or, 1 - product of (1 - p). Only documents have
+first letters; the document's score is their noisy-or, 1 - product of (1 - p). Sentences without any
+selected feature have a p of 0, so length alone makes no document toxic. Only documents have
 labels, so the gradient of the noisy-or decides which sentences are blamed. The same sentence scores
 then locate the offending sentences of any document.
 
@@ -51,18 +52,20 @@ class Model:
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """Score 0 to 1, and (start, end, p) of sentences with a p of 0.5 or more, or else of the one with the largest p."""
-        z, spans = [], []
+        z, spans, some = [], [], []
         for m in SENTENCE.finditer(text):
             words = set(WORD.findall(m.group().lower()))
             if words:
-                z.append(self.bias + sum(map(self.word, sorted(words))))
+                own = [v for v in map(self.word, sorted(words)) if v]
+                z.append(self.bias + sum(own))
+                some.append(bool(own))
                 spans.append(m.span())
         if not z:
-            z, spans = [self.bias], [(0, len(text))]
-        x = np.clip(np.array(z), -40, 40)
-        p = 1 / (1 + np.exp(-x))
+            z, spans, some = [self.bias], [(0, len(text))], [False]
+        x, some = np.clip(np.array(z), -40, 40), np.array(some)
+        p = some / (1 + np.exp(-x))
         at = np.flatnonzero(p >= 0.5) if p.max() >= 0.5 else [int(p.argmax())]
-        return float(-np.expm1(-np.logaddexp(0, x).sum())), [(*spans[i], float(p[i])) for i in at]
+        return float(-np.expm1(-(np.logaddexp(0, x) * some).sum())), [(*spans[i], float(p[i])) for i in at]
 
 
 def fit(texts: list[str], labels: list[int], kept: int = 6000, rounds: int = 200, l2: float = 1e-5, least: float = 4.0, ratio: float = 5.0, weights: tuple[float, float] = (1.0, 1.0)) -> Model:
@@ -112,19 +115,20 @@ def fit(texts: list[str], labels: list[int], kept: int = 6000, rounds: int = 200
     doc_, sent_, feat_ = np.array(doc), np.array(sent, dtype=np.int64), np.array(feat, dtype=np.int64)
     stands = np.where(y == 1, weights[1], weights[0])
     stands /= stands.sum()
+    some = np.bincount(sent_, minlength=k) > 0
     w, bias = np.zeros(len(index)), -6.0
     m1, m2, b1, b2 = np.zeros(len(index) + 1), np.zeros(len(index) + 1), 0.9, 0.99
     for r in range(1, rounds + 1):
         z = np.clip(bias + np.bincount(sent_, w[feat_], minlength=k), -30, 30)
-        s = np.bincount(doc_, np.logaddexp(0, z), minlength=len(y))
+        s = np.bincount(doc_, np.logaddexp(0, z) * some, minlength=len(y))
         g_doc = np.where(y == 1, -np.exp(-s) / np.maximum(-np.expm1(-s), 1e-9), 1.0) * stands
-        g_z = g_doc[doc_] / (1 + np.exp(-z))
+        g_z = g_doc[doc_] * some / (1 + np.exp(-z))
         g = np.append(np.bincount(feat_, g_z[sent_], minlength=len(w)) + l2 * w, g_z.sum())
         m1, m2 = b1 * m1 + (1 - b1) * g, b2 * m2 + (1 - b2) * g * g
         step = 0.1 * (m1 / (1 - b1**r)) / (np.sqrt(m2 / (1 - b2**r)) + 1e-8)
         w -= step[:-1]
         bias -= step[-1]
-    return Model(float(bias), {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-4})
+    return Model(float(bias), {f: float(w[i]) for f, i in index.items() if w[i]})
 
 
 def held_out(key: str) -> Column:
@@ -150,8 +154,8 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = 3000, key: str = "do
 def scored(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """`df` without its text, with score double, n_offending long and the worst sentence's worst_start, worst_end long and worst_score double.
 
-    Offsets are code points, end exclusive. A null text is an empty one: it has the score of one empty
-    sentence. Repeated rows stay, texts are scored whole, an empty table gives an empty table.
+    Offsets are code points, end exclusive. A null text is an empty one: its score is 0, that of
+    one empty sentence. Repeated rows stay, texts are scored whole, an empty table gives an empty table.
     """
     new = ["score", "n_offending", "worst_start", "worst_end", "worst_score"]
     own = [c for c in df.columns if c not in (text, *new)]

@@ -466,6 +466,16 @@ def test_toxicity_on_held_out_rows(spark):
             assert re.search("vilest|grum", rows[r.doc_id][1][r.worst_start : r.worst_end])
 
 
+def test_length_alone_is_not_toxic(spark):
+    rows = toxic_corpus()
+    model = TX.fit([r[1] for r in rows], [r[2] for r in rows])
+    rng = random.Random(2)
+    clean = ". ".join(words(rng, 8, 60) for _ in range(20_000))
+    (got,) = TX.scored(docs(spark, [clean]), model).collect()
+    assert got.score < 0.3 and got.n_offending == 0
+    assert model.score(clean + ". you vilest w1")[0] >= 0.3
+
+
 def test_toxicity_of_odd_texts_and_without_labels(spark):
     none = TX.fit([], [])
     got = TX.scored(docs(spark, ODD, extra=True), none).collect()
