@@ -1,7 +1,8 @@
 """Document fingerprints by SpotSigs, in DataFrame operations alone.
 
 Common words (of four languages), line ends and the start of a text are anchors. The chain of up to
-CHAIN content words after an anchor, as far as the next one, is a spot signature. A document's
+CHAIN content words after an anchor, as far as the next one, is a spot signature, and so is each further
+chain up to the next anchor, so every content word is in a signature. A document's
 fingerprint is its set of signatures, hashed to 32 bits. Likeness is the Jaccard similarity of two sets.
 Pairs are pruned by length: sets whose sizes differ by more than the threshold allows can't be alike,
 so a search partitions documents by set length and compares neighbouring partitions alone.
@@ -30,14 +31,15 @@ BUCKET = 1024
 BROADCAST_ROWS = 1_000_000
 
 _MARK = "\x01"
-_CUT = rf"\x01|(?<![^ \x01])(?:{'|'.join(dict.fromkeys(ANCHORS))})(?![^ \x01])"
+_CONTENT = rf"(?<![^ \x01])(?!(?:{'|'.join(dict.fromkeys(ANCHORS))})(?![^ \x01]))[^ \x01]++"
+_CHAINS = rf"{_CONTENT}(?: {_CONTENT}){{0,{CHAIN - 1}}}"
 
 
 def spots(text: Column) -> Column:
     """Distinct signatures of a text as sorted 32-bit hashes (array<int>); empty for a text without words."""
     plain = F.regexp_replace(F.translate(F.lower(text), "\n|", _MARK * 2), rf"[^\p{{L}}\p{{N}}{_MARK}]+", " ")
-    chains = F.transform(F.split(plain, _CUT), lambda p: F.substring_index(F.trim(p), " ", CHAIN))
-    return F.array_sort(F.array_distinct(F.transform(F.filter(chains, lambda c: c != ""), lambda c: F.hash(c))))
+    chains = F.regexp_extract_all(plain, F.lit(_CHAINS), F.lit(0))
+    return F.array_sort(F.array_distinct(F.transform(chains, lambda c: F.hash(c))))
 
 
 def written(sigs: Column) -> Column:

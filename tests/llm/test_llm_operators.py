@@ -422,6 +422,21 @@ def test_fingerprints(spark, monkeypatch):
     assert spotsigs.fingerprints(odd).count() == 3
 
 
+def test_every_word_is_in_a_signature(spark):
+    rng = random.Random(11)
+    for make in (lambda i: "слово" + "абвгдежз"[i % 8] + "иклмнопр"[i // 8 % 8], lambda i: f"w{i}"):
+        one = [make(rng.randrange(64)) for _ in range(40)]
+        changed = [" ".join([*one[:k], "q9", *one[k + 1 :]]) for k in range(40)]
+        got = [r.sigs for r in spotsigs.members(docs(spark, [" ".join(one), *changed])).orderBy("id").collect()]
+        assert all(s != got[0] for s in got[1:])
+        others = " ".join(make(k + 64 if make(0) == "w0" else k) for k in range(40))
+        edited = spotsigs.fingerprints(docs(spark, [" ".join(one), others])).orderBy("doc_id").first()
+        assert edited.near_edited < 1 and edited.near_next < 1
+    # chains end at anchors, and the next one begins after CHAIN words
+    got = spotsigs.members(docs(spark, ["a1 b1 c1 d1 e1 the f1\ng1 the of h1"])).select(F.size("sigs").alias("n"), F.array_contains("sigs", F.hash(F.lit("d1 e1"))).alias("more")).first()
+    assert (got.n, got.more) == (5, True)
+
+
 def test_alike_pairs_equal_brute_force(spark):
     rng = random.Random(6)
     base = [" the ".join(words(rng, 3) for _ in range(rng.randrange(10, 30))) for _ in range(12)]
