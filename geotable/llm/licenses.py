@@ -112,7 +112,8 @@ def blocks(text: Column) -> Column:
 def matched(ranked: DataFrame, templates: list[dict]) -> DataFrame:
     """(block, labels, score) for blocks (arrays of distinct ranks, ascending) that reach a template; each distinct block once.
 
-    Near relatives reach each other's threshold, so a block has the labels of the template that it holds most of.
+    Near relatives reach each other's threshold, so a template is left out where all its words that the block holds are
+    also words of another reached template, which has more words in the block, or as many and the larger containment.
     """
     one = lambda t, r, i: F.struct(
         F.lit(t["id"]).alias("id"), F.lit(t["label"]).alias("label"), F.array(*map(F.lit, t["ranks"])).alias("ranks"), F.lit(t["need"]).alias("need"), F.lit(r).alias("rank"), F.lit(i).alias("i")
@@ -122,12 +123,12 @@ def matched(ranked: DataFrame, templates: list[dict]) -> DataFrame:
     words = ranked.distinct().select("block", F.posexplode("block").alias("j", "rank"))
     left = F.least(F.size("ranks") - F.col("i"), F.size("block") - F.col("j"))
     met = words.join(table, "rank").where((F.size("block") >= F.col("need")) & (left >= F.col("need") - (F.least("i", "j"))))
-    both = F.size(F.array_intersect("block", "ranks"))
-    found = met.select("block", "id", "label", both.alias("both"), "need", F.size("ranks").alias("size")).where("both >= need").distinct()
-    found = found.groupBy("block").agg(F.collect_list(F.struct((F.col("both") / F.col("size")).alias("c"), "label")).alias("found"))  # at most one entry a template
-    score = F.array_max(F.col("found.c"))
-    best = F.filter("found", lambda f: f["c"] == F.col("score"))
-    return found.withColumn("score", score).select("block", F.array_distinct(F.transform(best, lambda f: f["label"])).alias("labels"), "score")
+    both = F.array_sort(F.array_intersect("block", "ranks"))
+    found = met.select("block", "id", "label", both.alias("both"), "need", F.size("ranks").alias("size")).where("size(both) >= need").distinct()
+    found = found.groupBy("block").agg(F.collect_list(F.struct((F.size("both") / F.col("size")).alias("c"), "label", "both")).alias("found"))  # at most one entry a template
+    within = lambda f, g: (F.size(F.array_except(f["both"], g["both"])) == 0) & ((F.size(f["both"]) < F.size(g["both"])) | (f["c"] < g["c"]))
+    own = F.filter("found", lambda f: ~F.exists("found", lambda g: within(f, g)))
+    return found.select("block", F.array_distinct(F.transform(own, lambda f: f["label"])).alias("labels"), F.array_max(F.col("found.c")).alias("score"))
 
 
 def license_labels(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT, text: str = "text") -> DataFrame:

@@ -388,6 +388,16 @@ WRAPPED = {
 }
 
 
+def test_a_block_may_name_two_licenses(spark):
+    texts = {
+        "Released under the MIT License and CC BY-NC 4.0": {"mit", "cc-by-nc-4.0"},
+        "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License": {"cc-by-sa-4.0"},
+        "Licensed under the GNU Lesser General Public License": {"lgpl"},
+    }
+    got = LI.license_labels(docs(spark, list(texts))).orderBy("doc_id").collect()
+    assert [set(r.labels.split(",")) - set(r.base_labels.split(",")) for r in got] == list(texts.values())
+
+
 def test_wrapped_licenses(spark):
     texts = [f"Head\n\n{t}. More\nof it" for t in WRAPPED.values()]
     parted = [t.replace("\n", "\n \t\n") for t in list(WRAPPED.values())[:3]]
