@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -317,11 +318,12 @@ def test_linking_equals_all_pairs(spark):
     rng = random.Random(8)
     kinds = list(secrets.SORT)
     parts = [(f"t{rng.randrange(3)}", rng.randrange(6000), k, kinds.index(k)) for k in rng.choices(kinds, k=90)]
-    df = spark.createDataFrame([(s, a, r, k, a + 5) for s, a, k, r in parts], "scope string, start int, rank int, kind string, end int")
+    size = lambda k: 5 if k != "endpoint" else 450
+    df = spark.createDataFrame([(s, a, r, k, a + size(k)) for s, a, k, r in parts], "scope string, start int, rank int, kind string, end int")
     got = {(r.scope, s.start, s.kind) for r in secrets.linked(df.union(df)).collect() for s in r.spans}
     want = set()
     for s, a, k, _ in parts:
-        near = {secrets.SORT[k2] for s2, b, k2, _ in parts if s2 == s and abs(a - b) <= secrets.SCOPE}
+        near = {secrets.SORT[k2] for s2, b, k2, r2 in parts if s2 == s and (b - a - size(k) if b >= a else a - b - size(k2)) <= secrets.SCOPE}
         if k == "identifier" and "s" in near or k == "loose" and near & {"i", "e"} or k == "endpoint" and {"i", "s"} <= near:
             want.add((s, a, k))
     assert got == want
@@ -339,6 +341,35 @@ def test_redaction(spark):
     assert secrets.redacted(df.limit(0)).count() == 0
 
 
+def test_long_parts_are_linked_by_what_lies_between(spark):
+    url = "https://api.host.example/" + "p/" * 150
+    texts = [f"token={'x' * 600} client_id=alice.smith", f"{url} aB3{'xYz9' * 9} password=abcdefgh {KEY}", f"{url} {'. ' * 101} aB3{'xYz9' * 9}"]
+    got = {r.doc_id: {s.kind for s in r["__spans"]} for r in secrets.secret_spans(docs(spark, texts)).collect()}
+    assert got == {0: {"assign", "identifier"}, 1: {"assign", "access", "loose", "endpoint"}, 2: set()}
+
+
+def test_redaction_of_a_long_text(spark):
+    rng = random.Random(3)
+    parts = [rng.choice(["token=abcdef", "é" * rng.randrange(9000), "😀" * rng.randrange(5000), "password=1234567", "f" * 24 + " "]) + " " for _ in range(60)]
+    got = secrets.redacted(docs(spark, ["".join(parts)])).first().text
+    assert got == "".join("[SECRET] " if "=" in p else p.replace("f" * 24, "[SECRET]") for p in parts)
+
+
+def test_spans_of_one_text_take_linear_time(spark):
+    def took(n):
+        best = 1e9
+        for _ in range(2):
+            began = time.time()
+            df = docs(spark, [f"é token=abcdef client_id=alice.{n} " * n])
+            assert secrets.secret_spans(df, keep_text=False).selectExpr("size(__spans) AS n").first().n == 2 * n
+            assert len(secrets.redacted(df).first().text) == len("é [SECRET] [SECRET] ") * n
+            best = min(best, time.time() - began)
+        return best
+
+    fixed, once, twice = took(1), took(20_000), took(40_000)
+    assert twice - fixed <= 2.2 * max(once - fixed, 1.0)
+
+
 def test_native_operators_plan_no_python(spark):
     for f in (lambda d: secrets.secret_spans(d), lambda d: LI.license_labels(d), lambda d: spotsigs.fingerprints(d)):
         plan = f(docs(spark, SECRETS))._jdf.queryExecution().executedPlan().toString()
