@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 
 from geotable.operators.storage import cut, shared_dir
 
-__all__ = ["batches", "cut", "mapped", "shared_dir", "text_or_empty"]
+__all__ = ["batches", "cut", "looked_up", "mapped", "shared_dir", "text_or_empty", "weighed"]
+
+#: Bytes of a table that may be broadcast, as weighed() has them.
+BROADCAST_BYTES = 32 << 20
+#: Parts in which a hot key of a lookup that can't be broadcast is spread.
+SALTS = 16
 
 
 #: Rows and bytes of an Arrow batch between JVM and Python; both sides hold a few batches for each task.
@@ -51,6 +56,21 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def weighed(df: DataFrame) -> int:
+    """Bytes of a table in memory, about: its rows as JSON and 64 for each; a pass over the table, so it is for written ones."""
+    n, size = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))).first()
+    return 64 * n + (size or 0)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """`rows` joined with `table`, which has each `key` once: broadcast up to BROADCAST_BYTES, else shuffled with every key in SALTS parts."""
+    if weighed(table) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(table), key, how)
+    salted = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [key, "__salt"], how).drop("__salt")
+
+
 def batches(it: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches with at most `rows` rows and about `size` bytes each (one row at least)."""
     for b in it:

@@ -17,11 +17,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotable.llm.common import cut, text_or_empty
+from geotable.llm.common import cut, looked_up, text_or_empty
 
 CONTAINMENT = 0.8
-#: Distinct matched blocks that may be broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 200_000
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _W, _S = WORD[:-1], r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -103,7 +101,7 @@ def ordered(templates: list[tuple[str, str]], seen: dict[str, int], containment:
 
 def blocks(text: Column) -> Column:
     """Sentences of a text's lines, and those of its paragraphs, where a single line end is a blank (so wrapped ones are whole)."""
-    cuts = r"[.!?]+(?=\s|$)|[\n\r|]"
+    cuts = r"[.!?]+(?=\s|\z)|[\n\r|]"
     # blank lines part paragraphs
     whole = F.translate(F.regexp_replace(text, r"(?>\r\n|[\n\r])(?:[ \t]*+(?>\r\n|[\n\r]))+", "|"), "\n\r", "  ")
     return F.concat(F.split(text, cuts), F.when(text.rlike(r"[\n\r]"), F.split(whole, cuts)).otherwise(F.expr("CAST(array() AS array<string>)")))
@@ -166,13 +164,12 @@ def license_labels(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
 
     # what a row's blocks add: rows with equal sets of blocks are looked up once
     asked = rows.where(F.size("__blocks") > 0).select("__blocks").distinct().select("__blocks", F.explode("__blocks").alias("block"))
-    small = labels.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    given = asked.join(F.broadcast(labels) if small else labels, "block")
-    given = given.groupBy("__blocks").agg(F.array_distinct(F.flatten(F.collect_set("labels"))).alias("__more"), F.max("score").alias("__score"))
-    given = cut(given)
-    if given.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        given = F.broadcast(given)
-    out = rows.join(given, "__blocks", "left")
+    given = looked_up(asked, labels, "block", "inner")
+    given = cut(given.groupBy("__blocks").agg(F.array_distinct(F.flatten(F.collect_set("labels"))).alias("__more"), F.max("score").alias("__score")))
+    # most rows have no block with enough words: they don't enter the join
+    some = looked_up(rows.where(F.size("__blocks") > 0), given, "__blocks")
+    rest = rows.where(F.size("__blocks") == 0).withColumn("__more", F.lit(None).cast("array<string>")).withColumn("__score", F.lit(None).cast("double"))
+    out = some.unionByName(rest)
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     none = F.expr("CAST(array() AS array<string>)")
     return out.select(

@@ -30,15 +30,18 @@ def _licenses_sql() -> str:
         parts = phrase.split()
         same = " AND ".join(f"ws[i + {k}] = '{x}'" for k, x in enumerate(parts, 1))
         places.append(f"list_transform(list_filter(range(0, len(ws) - {len(parts) - 1}), lambda i: {same}), lambda i: {{'at': i, 'label': '{label}'}})")
-    cut = r"regexp_replace(regexp_replace(COALESCE(text, ''), '[.!?]+([ \t\n\x0B\f\r])', chr(10) || '\1', 'g'), '[.!?]+$', '')"
+    cut_of = lambda c: rf"regexp_replace(regexp_replace({c}, '[.!?]+([ \t\n\x0B\f\r])', chr(10) || '\1', 'g'), '[.!?]+$', '')"
+    cut = cut_of("COALESCE(text, '')")
+    # paragraphs: blank lines part them, other line ends are blanks
+    whole = cut_of(r"translate(regexp_replace(replace(COALESCE(text, ''), chr(13) || chr(10), chr(10)), '[\n\r]([ \t]*[\n\r])+', '|', 'g'), chr(10) || chr(13), '  ')")
     return f"""
 WITH t(label, ws, need) AS (VALUES {", ".join(rows)}),
-d AS (SELECT doc_id, {of("COALESCE(text, '')")} AS ws, {cut} AS cut FROM documents),
+d AS (SELECT doc_id, {of("COALESCE(text, '')")} AS ws, {cut} AS cut, {whole} AS whole FROM documents),
 p AS (SELECT doc_id, ws, cut, list_concat({places[0]}, list_concat({places[1]}, {places[2]})) AS ps FROM d),
-b AS (SELECT DISTINCT doc_id, list_distinct({of("block")}) AS bw FROM (SELECT doc_id, unnest(regexp_split_to_array(cut, '[\n\r|]')) AS block FROM d) x),
-m AS (SELECT b.doc_id, bw, label, len(list_intersect(bw, t.ws)) / CAST(len(t.ws) AS DOUBLE) AS c FROM b JOIN t ON len(list_intersect(bw, t.ws)) >= t.need),
-best AS (SELECT doc_id, label, c FROM (SELECT *, MAX(c) OVER (PARTITION BY doc_id, bw) AS top FROM m) y WHERE c = top),
-g AS (SELECT doc_id, list(DISTINCT label) AS more, MAX(c) AS c FROM best GROUP BY doc_id)
+b AS (SELECT DISTINCT doc_id, list_sort(list_distinct({of("block")})) AS bw FROM (SELECT doc_id, unnest(list_concat(regexp_split_to_array(cut, '[\n\r|]'), regexp_split_to_array(whole, '[\n\r|]'))) AS block FROM d) x),
+m AS (SELECT b.doc_id, bw, label, list_intersect(bw, t.ws) AS held, len(list_intersect(bw, t.ws)) / CAST(len(t.ws) AS DOUBLE) AS c FROM b JOIN t ON len(list_intersect(bw, t.ws)) >= t.need),
+own AS (SELECT f.doc_id, f.label, f.c FROM m f WHERE NOT EXISTS (SELECT 1 FROM m g WHERE g.doc_id = f.doc_id AND g.bw = f.bw AND len(list_intersect(f.held, g.held)) = len(f.held) AND (len(f.held) < len(g.held) OR f.c < g.c))),
+g AS (SELECT doc_id, list(DISTINCT label) AS more, MAX(c) AS c FROM own GROUP BY doc_id)
 SELECT p.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ps) AS BIGINT) AS n_base,
   CASE WHEN len(ps) > 0 THEN CAST(list_min(list_transform(ps, lambda x: x.at)) AS BIGINT) END AS first_word,
   CASE WHEN len(ps) > 0 THEN CAST(list_max(list_transform(ps, lambda x: x.at)) AS BIGINT) END AS last_word,
