@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from geotable.llm.common import cut
+from geotable.operators.storage import ranged
 
 #: Rows that one window group holds on average at most, however hot a cell is.
 ROWS_IN_BUCKET = 500_000
@@ -55,11 +56,31 @@ def curve(dims: int, bits: int) -> list[int]:
     return [hilbert_index(tuple(c >> bits * (dims - 1 - d) & side - 1 for d in range(dims)), bits) for c in range(side**dims)]
 
 
+def text_marks(df: DataFrame, dim: str, side: int) -> list[str]:
+    """side - 1 quantiles of a dimension's values as text, in byte order and by their counts over all rows; the i-th is the least value up to which i / side of the rows lie.
+
+    Values are counted, the counts are ranged by value and summed up within ranges, so just the marks come to the driver.
+    """
+    counts = df.select(F.col(f"`{dim}`").cast("string").alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    counts = ranged(counts, [F.col("v")])
+    shares = counts.groupBy("__group").agg(F.sum("n").alias("m"))
+    base = shares.select("__group", (F.sum("m").over(Window.orderBy("__group")) - F.col("m")).alias("base"))  # one row a range
+    total = shares.agg(F.sum("m")).first()[0]
+    if not total:
+        return []
+    upto = F.col("base") + F.sum("n").over(Window.partitionBy("__group").orderBy("v"))
+    marks = counts.join(F.broadcast(base), "__group").withColumn("upto", upto)
+    marks = marks.select("v", F.expr(f"((upto - n) * {side}) DIV {total} + 1").alias("lo"), F.expr(f"LEAST((upto * {side}) DIV {total}, {side - 1})").alias("hi"))
+    got = marks.where("hi >= lo").collect()  # no more than side - 1 rows
+    return [r["v"] for r in sorted(got, key=lambda r: r["lo"]) for _ in range(r["lo"], r["hi"] + 1)]
+
+
 def quantised(df: DataFrame, dims: list[str], bits: int) -> list[Column]:
     """One expression with values 0 to 2^bits - 1 for each dimension.
 
-    Numbers are cut at quantiles that are taken over all rows (2^bits - 1 values for each); other
-    types go by a hash. A null, or NaN, is in cell 0.
+    Values are cut at quantiles that are taken over all rows (2^bits - 1 values for each), numbers by
+    their size and other types as text in byte order. So cells keep the order of values, and a shard's
+    least and largest value prune. A null, or NaN, is in cell 0.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     numeric = [d for d in dims if isinstance(kinds[d], T.NumericType)]
@@ -75,7 +96,7 @@ def quantised(df: DataFrame, dims: list[str], bits: int) -> list[Column]:
         if d in marks:
             e = sum(((F.nanvl(c.cast("double"), F.lit(None)) > F.lit(float(m))).cast("int") for m in marks[d]), F.lit(0))
         else:
-            e = F.pmod(F.crc32(c.cast("string")), F.lit(side)).cast("int")
+            e = sum(((c.cast("string") > F.lit(m)).cast("int") for m in text_marks(df, d, side)), F.lit(0))
         out.append(F.coalesce(e, F.lit(0)))
     return out
 
@@ -129,7 +150,7 @@ def write_shards(df: DataFrame, path: str, n_shards: int) -> None:
 
 
 def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 24 shards of equal counts along the curve over source, lang, and size."""
+    """All documents in 24 shards of equal counts along the curve over source, lang, and size (quantiles of each over all rows)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "source", "lang"
