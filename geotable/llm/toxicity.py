@@ -6,7 +6,7 @@ selected feature have a p of 0, so length alone makes no document toxic. Only do
 labels, so the gradient of the noisy-or decides which sentences are blamed. The same sentence scores
 then locate the offending sentences of any document.
 
-The model is fitted on the driver on a bounded sample of labelled documents (`most` of each label);
+The model is fitted on the driver on a bounded sample of labelled documents (`most` of each label, SAMPLE_BYTES of text);
 scoring runs over every row where it is read.
 """
 
@@ -27,6 +27,8 @@ from geotable.llm.common import batches, freed, mapped, text_or_empty
 SENTENCE = re.compile(r"[^.!?\n|]+")
 WORD = re.compile(r"[^\W_]+")
 STEMS = (3, 4, 5, 6)
+#: Bytes of the texts of each label that the driver takes to fit.
+SAMPLE_BYTES = 24 << 20
 
 
 def features(word: str) -> list[str]:
@@ -131,19 +133,32 @@ def fit(texts: list[str], labels: list[int], kept: int = 6000, rounds: int = 200
     return Model(float(bias), {f: float(w[i]) for f, i in index.items() if w[i]})
 
 
+def df_of(docs: DataFrame, pairs: list[tuple], like: DataFrame) -> DataFrame:
+    """The picked (id, hash) pairs as a table, of a few thousand rows."""
+    return docs.sparkSession.createDataFrame(pairs, like.select("__id", "__h").schema)
+
+
 def held_out(key: str) -> Column:
     """Rows whose labels are never learned from. A null key counts as an empty one."""
     return F.pmod(F.crc32(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))), F.lit(4)) == 2
 
 
-def trained(docs: DataFrame, labels: DataFrame, most: int = 3000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fit on labelled rows that are not held out: `most` of each label at most, chosen by a hash of their ids."""
+def trained(docs: DataFrame, labels: DataFrame, most: int = 3000, key: str = "doc_id", text: str = "text", label: str = "toxic", most_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on labelled rows that are not held out: of each label `most` at most, chosen by a hash of their ids, and of those as many whole texts as have `most_bytes`, in that order."""
     known = labels.where(~held_out(key) & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias("__y"))
     order = [F.xxhash64(key), F.col(key)]
     some = [known.where(F.col("__y") == v).orderBy(*order).limit(most) for v in (0, 1)]
     chosen = some[0].union(some[1])  # 2 * most rows at most, so it can be broadcast
     rows = docs.select(F.col(f"`{key}`").alias("__id"), text_or_empty(f"`{text}`").alias("__text")).join(F.broadcast(chosen.withColumnRenamed(key, "__id")), "__id")
-    got = sorted((tuple(r) for r in rows.select("__id", "__text", "__y").orderBy(F.xxhash64("__id"), "__id", F.xxhash64("__text")).limit(2 * most).collect()), key=lambda r: (r[0], r[1]))
+    rows = rows.withColumn("__h", F.xxhash64("__text"))
+    sizes = rows.select("__id", "__h", "__y", F.octet_length("__text").alias("__n")).orderBy(F.xxhash64("__id"), "__id", "__h").limit(2 * most).collect()
+    taken, spent = set(), {0: 0, 1: 0}
+    for r in sizes:
+        if (r["__id"], r["__h"]) not in taken and spent[r["__y"]] + r["__n"] <= most_bytes:
+            taken.add((r["__id"], r["__h"]))
+            spent[r["__y"]] += r["__n"]
+    picked = df_of(docs, sorted(taken, key=str), rows)
+    got = sorted({tuple(r) for r in rows.join(F.broadcast(picked), ["__id", "__h"]).select("__id", "__text", "__y").collect()}, key=lambda r: (r[0], r[1]))
     of = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
     model = fit([r[1] for r in got], [r[2] for r in got], weights=tuple(max(1.0, of.get(v, 0) / most) for v in (0, 1)))
     del got
