@@ -9,12 +9,14 @@ Texts are compared in normal form: lower case, runs of anything but letters and
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from geotable.llm.common import batches, mapped, text_or_empty
 
@@ -116,8 +118,19 @@ class Matcher:
         return [(self.items[at].id, *v) for at, v in sorted(found.items())]
 
 
+#: The matcher that this worker built last, under the name of its block; it serves the worker's next tasks.
+_last: dict[str, Matcher] = {}
+
+
+def matcher_of(name: str, items: list[tuple], share: float) -> Matcher:
+    if name not in _last:
+        _last.clear()
+        _last[name] = Matcher(items, share)
+    return _last[name]
+
+
 def contaminated(df: DataFrame, benchmark: DataFrame, share: float = 0.08, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, item, distance long, start long, end long) for each document and item that it holds within share * length edits.
+    """(key, item as its table has it, distance long, start long, end long) for each document and item that it holds within share * length edits.
 
     Null, empty and all-punctuation texts or items match nothing. An item that stands in a document
     several times gives one row, of its best place. Repeated rows give repeated results, empty tables
@@ -127,21 +140,23 @@ def contaminated(df: DataFrame, benchmark: DataFrame, share: float = 0.08, key:
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-chars // BLOCK_CHARS) or 1
     sc = df.sparkSession.sparkContext
+    item_kind = rows.schema["item"].dataType.simpleString()
+    item_type = to_arrow_type(rows.schema["item"].dataType)
     out = None
     for block in range(n):  # items are queries against all documents, in blocks of bounded size
         mine = [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item"), F.lit(n)) == block).orderBy("item", "text").collect()]
-        shared = sc.broadcast(mine)
+        shared, name = sc.broadcast(mine), uuid.uuid4().hex
 
-        def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, share)
+        def run(it: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            matcher = matcher_of(name, shared.value, share)
             for b in batches(it):
                 got = [(i, *m) for i, x in enumerate(b.column(1).to_pylist()) for m in matcher.matches(x)]
                 at = b.column(0).take(pa.array([g[0] for g in got], pa.int32()))
-                cols = [pa.array([g[j] for g in got], pa.int64()) for j in range(1, 5)]
+                cols = [pa.array([g[1] for g in got], item_type), *[pa.array([g[j] for g in got], pa.int64()) for j in range(2, 5)]]
                 yield pa.RecordBatch.from_arrays([at, *cols], names=["key", "item", "distance", "start", "end"])
 
         kind = df.schema[key].dataType.simpleString()
-        part = mapped(df.select(F.col(f"`{key}`").alias("key"), text_or_empty(f"`{text}`")), run, f"key {kind}, item long, distance long, start long, end long")
+        part = mapped(df.select(F.col(f"`{key}`").alias("key"), text_or_empty(f"`{text}`")), run, f"key {kind}, item {item_kind}, distance long, start long, end long")
         out = part if out is None else out.union(part)
     return out.select(F.col("key").alias(key), F.col("item").alias(item), "distance", "start", "end")
 
