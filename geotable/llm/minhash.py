@@ -33,9 +33,11 @@ SIZE = PARTS // CHUNKS
 GUARANTEED = CHUNKS * (ERRORS + 1) - 1
 #: Pairs that meet are confirmed up to this distance (a similarity of 0.8 exceeds it once in 10 million).
 FARTHEST = GUARANTEED + 4
-#: Members of one key that are compared at once.
-BLOCK = 1000
-#: Ids that may be broadcast (16 MB); beyond, the join shuffles.
+#: Members of one key that are compared at once, at least; a key has no more than BLOCKS blocks of a sort, so a member has at most twice as many copies.
+BLOCK, BLOCKS = 1000, 64
+#: Pairs of one document that are confirmed at once.
+GROUP = 500
+#: Ids, or rows of a few ids, that may be broadcast (32 MB at most); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(20240607)
@@ -149,7 +151,7 @@ def _blocks(members: DataFrame) -> DataFrame:
     one = members.groupBy("k").agg(F.min_by("component", "id").alias("main"))
     marked = members.join(one, "k").withColumn("in", F.col("component") == F.col("main"))
     sized = marked.groupBy("k").agg(F.count_if("in").alias("n_in"), F.count_if(~F.col("in")).alias("n_out"))
-    blocks = lambda c: F.expr(f"CAST(({c} + {BLOCK - 1}) DIV {BLOCK} AS INT)")
+    blocks = lambda c: F.expr(f"CAST(LEAST(({c} + {BLOCK - 1}) DIV {BLOCK}, {BLOCKS}) AS INT)")
     sized = sized.where("n_out > 0").select("k", blocks("n_in").alias("b_in"), blocks("n_out").alias("b_out"))
     own = F.when(F.col("in"), F.pmod(F.xxhash64("id"), F.col("b_in"))).otherwise(F.col("b_in") + F.pmod(F.xxhash64("id"), F.col("b_out"))).cast("int")
     placed = marked.join(sized, "k").withColumn("blk", own)
@@ -197,29 +199,46 @@ def only(df: DataFrame, key: str, ids: DataFrame, how: str = "left_semi") -> Dat
     return df.join(F.broadcast(ids) if small else ids, F.col(f"`{key}`") == F.col("__id"), how)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those pairs (u, v) whose full sets are similar enough; texts: (id, text)."""
+def _confirmed(pairs: DataFrame, read: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those pairs (u, v; a written table) whose full sets are similar enough; read: (id, text).
+
+    The pairs of one u are cut into groups of about GROUP, and a group has one copy of u's text, however many
+    it is linked with. So each pair moves one text, and a hot u is spread. Of rows with one id all texts are tried.
+    """
+    groups = pairs.groupBy("u").agg(F.expr(f"CAST((COUNT(1) + {GROUP - 1}) DIV {GROUP} AS INT)").alias("n"))
+    if pairs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        groups = F.broadcast(groups)
+    placed = pairs.join(groups, "u").select("u", "v", F.xxhash64("u", F.pmod(F.xxhash64("v"), F.col("n"))).alias("cell"))
+    asks = cut(placed.select(F.col("v").alias("id"), "cell", "u", F.lit(1).alias("place")).union(placed.select(F.col("u").alias("id"), "cell", "u", F.lit(0).alias("place")).distinct()))
+    if asks.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        asks = F.broadcast(asks)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last, left = Words(), None, None
+        words, last, lefts = Words(), None, []
         for b in batches(it, rows=256):
-            u, ok = b.column(0).to_pylist(), []
-            for i, (x, y) in enumerate(zip(b.column(2).cast(pa.binary()), b.column(3).cast(pa.binary()), strict=True)):
-                if u[i] != last or left is None:
-                    last, left = u[i], shingles(x.as_py(), width, words)
-                right = shingles(y.as_py(), width, words)
-                if 100 * min(len(left), len(right)) < percent * max(len(left), len(right)):
-                    continue
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                if 100 * both >= percent * (len(left) + len(right) - both):
+            ok = []
+            cells, us, places = (b.column(i).to_pylist() for i in (0, 1, 2))
+            for i, x in enumerate(b.column(4).cast(pa.binary())):
+                if (cells[i], us[i]) != last:
+                    last, lefts = (cells[i], us[i]), []
+                own = shingles(x.as_py(), width, words)
+                if not places[i]:
+                    lefts.append(own)
+                elif any(_alike(left, own, percent) for left in lefts):
                     ok.append(i)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok, pa.int32())), b.column(1).take(pa.array(ok, pa.int32()))], names=["u", "v"])
+            ok = pa.array(ok, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(1).take(ok), b.column(3).take(ok)], names=["u", "v"])
 
     kind = pairs.schema["u"].dataType.simpleString()
-    x = texts.select(F.col("id").alias("v"), F.col("text").alias("tv"))
-    y = texts.select(F.col("id").alias("u"), F.col("text").alias("tu"))
-    met = pairs.select("u", "v").join(x, "v").join(y, "u").select("u", "v", "tu", "tv")
-    return mapped(met, run, f"u {kind}, v {kind}")
+    met = read.join(asks, "id").select("cell", "u", "place", "id", "text")
+    return mapped(met.repartition("cell").sortWithinPartitions("cell", "u", "place"), run, f"u {kind}, v {kind}")
+
+
+def _alike(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(left), len(right)) < percent * max(len(left), len(right)):
+        return False
+    both = len(np.intersect1d(left, right, assume_unique=True))
+    return 100 * both >= percent * (len(left) + len(right) - both)
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -243,8 +262,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str =
     stars = cut(_near(stars.join(sig("v", "sv"), "v").join(sig("u", "su"), "u")))
     read = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
     # of rows with one key, the one whose set gave the class is not known: all are tried
-    texts = cut(only(read, "id", stars.select("u").union(stars.select("v"))))
-    links = cut(_confirmed(stars, texts, width, percent))
+    links = cut(_confirmed(stars, read, width, percent))
     found = components(links)
 
     labelled = classes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "sig")
@@ -253,14 +271,12 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str =
     open_members = members.join(open_keys, "k").join(labelled.select("id", "sig"), "id").select("k", "id", "component", "sig")
     rest = cut(_blocks(open_members).join(stars.select("u", "v"), ["u", "v"], "left_anti"))
     take = 4
-    if rest.head(1):
-        texts = cut(only(read, "id", rest.select("u").union(rest.select("v"))))
     while rest.head(1):
         ends = found.select(F.col("id").alias("u"), F.col("component").alias("cu")), found.select(F.col("id").alias("v"), F.col("component").alias("cv"))
         between = rest.join(ends[0], "u", "left").join(ends[1], "v", "left").select("u", "v", "d", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")).where("cu <> cv")
         order = Window.partitionBy(F.least("cu", "cv"), F.greatest("cu", "cv")).orderBy("d", "u", "v")
         ranked = cut(between.withColumn("r", F.row_number().over(order)).select("u", "v", "d", "r"))
-        more = cut(_confirmed(ranked.where(F.col("r") <= take), texts, width, percent))
+        more = cut(_confirmed(ranked.where(F.col("r") <= take), read, width, percent))
         if more.head(1):
             links = links.union(more)
             found = components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).union(more))
