@@ -25,10 +25,14 @@ ANCHORS = (
     "el los las y se por con una del es lo para al"
 ).split()
 CHAIN = 3
-#: Ids in one bucket of the order by id; integer ids, so this bounds its rows.
-BUCKET = 1024
-#: Rows (an id and a bucket) that may be broadcast.
+#: Ids in one bucket of the order by id, at least; integer ids, so this bounds its rows.
+BUCKET = 256
+#: Buckets that the order is cut into, about; more rows make wider buckets.
+BUCKETS = 250_000
+#: Rows (an id and a bucket, 16 bytes) that may be broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Where the lengths of two sets alone keep their likeness under this, they are not compared: it is 0.
+LEAST = 0.1
 
 _MARK = "\x01"
 _CONTENT = rf"(?<![^ \x01])(?!(?:{'|'.join(dict.fromkeys(ANCHORS))})(?![^ \x01]))[^ \x01]++"
@@ -61,9 +65,10 @@ def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
     Rows are bucketed by key; one row of each bucket, the first, also visits the bucket before. So each text is shuffled once.
     """
     low = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 62)))
-    rows = df.select(F.col(f"`{key}`").alias("key"), low.alias("kid"), text_or_empty(f"`{text}`").alias("text")).withColumn("bucket", F.floor(F.col("kid") / F.lit(BUCKET)))
+    width = max(BUCKET, df.count() // BUCKETS)
+    rows = df.select(F.col(f"`{key}`").alias("key"), low.alias("kid"), text_or_empty(f"`{text}`").alias("text")).withColumn("bucket", F.expr(f"kid DIV {width} - IF(kid % {width} < 0, 1, 0)"))
     # the bucket before each bucket: ranges of buckets first, then the ends of the ranges (one row a range)
-    firsts = df.select(low.alias("kid")).groupBy(F.floor(F.col("kid") / F.lit(BUCKET)).alias("bucket")).agg(F.min("kid").alias("first"))
+    firsts = df.select(low.alias("kid")).groupBy(F.expr(f"kid DIV {width} - IF(kid % {width} < 0, 1, 0)").alias("bucket")).agg(F.min("kid").alias("first"))
     firsts = cut(firsts.repartitionByRange("bucket").withColumn("pid", F.spark_partition_id()))
     own = Window.partitionBy("pid").orderBy("bucket")
     ends = firsts.groupBy("pid").agg(F.max("bucket").alias("end"))
@@ -82,7 +87,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """`key` with n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row.
 
     The edited text has its last quarter replaced by as much of the start of the next row's text (all of it, where it
-    is shorter). Null texts are empty; empty texts have empty fingerprints, alike to each other (1) and to nothing
+    is shorter). Sets are compared by length first: where that keeps a likeness under LEAST, it is 0. Null texts are empty; empty texts have empty fingerprints, alike to each other (1) and to nothing
     else (0). Repeated keys are ordered by text; null keys come first. A single row is its own next. An empty table
     gives no rows; texts are taken whole.
     """
@@ -98,8 +103,8 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         F.sha2("edited", 256).alias("edited_sha256"),
         written(F.col("sigs")).alias("fingerprint"),
         written(F.col("edited_sigs")).alias("edited_fingerprint"),
-        likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
-        likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+        likeness(F.col("sigs"), F.col("edited_sigs"), LEAST).alias("near_edited"),
+        likeness(F.col("sigs"), F.col("next_sigs"), LEAST).alias("near_next"),
     )
 
 
