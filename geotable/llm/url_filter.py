@@ -1,5 +1,8 @@
 """URL filter: rules first, then gradient-boosted trees on lexical features.
 
+Labels are a table (url, label). A row's suffix statistics, as it is trained on, come from the other folds of hosts, so
+its own label is not in them; what is scored has those of all labels.
+
 A rule names a host and a path prefix, and fits that host with all its subdomains; the longest rule
 wins. URLs that no rule fits are judged by trees trained from labelled URLs. Features come from the URL
 alone (lengths, depth, digit ratios, entropy, parameter counts) and from statistics of its suffix, which
@@ -23,8 +26,8 @@ from geotable.llm.common import batches, mapped
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 #: Words of hosts that label a URL as one to block (labels by distant supervision, as for any blocklist of words).
 BAD_WORDS = ["adult", "ads", "casino", "cheap", "free", "loan", "pills", "poker", "porn", "spam", "viagra", "win", "xxx"]
-#: Hash buckets of suffixes; bounds what is collected.
-BUCKETS = 4096
+#: Hash buckets of suffixes, and folds of hosts; they bound what is collected.
+BUCKETS, FOLDS = 4096, 4
 NAMES = (
     "length host_length path_length depth digit_ratio host_digit_ratio longest_digits hyphens dots entropy host_entropy vowel_ratio params fragment extension https "
     "longest_label suffix_share suffix_rate"
@@ -136,32 +139,56 @@ def suffix_bucket(host: Column) -> Column:
     return F.pmod(F.crc32(F.substring_index(host, ".", -1)), F.lit(BUCKETS)).cast("int")
 
 
-def suffix_table(rows: DataFrame) -> np.ndarray:
-    """Per bucket the log share of all rows and the rate of label 1 among labelled rows, drawn to the mean as by 20 rows."""
-    got = rows.groupBy(suffix_bucket(F.col("host")).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("m"), F.sum("label").alias("s")).collect()  # at most BUCKETS rows
-    total, known = sum(r["n"] for r in got), sum(r["m"] for r in got)
-    mean = sum(r["s"] or 0 for r in got) / known if known else 0.0
-    out = np.tile(np.array([math.log(0.5 / (total + 1)), mean]), (BUCKETS, 1))
-    for r in got:
-        out[r["b"]] = math.log((r["n"] + 0.5) / (total + 1)), ((r["s"] or 0) + 20 * mean) / (r["m"] + 20)
-    return out
+def fold_of(host: Column) -> Column:
+    """The fold of a host; its subdomains may have others."""
+    return F.pmod(F.xxhash64(host), F.lit(FOLDS)).cast("int")
 
 
-def vectors(urls: list, hosts: list, paths: list, buckets: list, suffixes: np.ndarray) -> np.ndarray:
+def suffix_tables(rows: DataFrame) -> np.ndarray:
+    """Per bucket the log share of all rows and the rate of label 1 among labelled rows, drawn to the mean as by 20 rows: FOLDS tables, each without a fold's labels, then one with all."""
+    got = rows.groupBy(suffix_bucket(F.col("host")).alias("b"), fold_of(F.col("host")).alias("f")).agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("m"), F.sum("label").alias("s")).collect()  # at most BUCKETS * FOLDS rows
+    n, m, s = np.zeros(BUCKETS), np.zeros((BUCKETS, FOLDS)), np.zeros((BUCKETS, FOLDS))
+    for r in got:
+        n[r["b"]] += r["n"]
+        m[r["b"], r["f"]], s[r["b"], r["f"]] = r["m"], r["s"] or 0
+    share, out = np.log((n + 0.5) / (n.sum() + 1)), []
+    for without in [*range(FOLDS), None]:
+        mm, ss = (x.sum(axis=1) if without is None else np.delete(x, without, axis=1).sum(axis=1) for x in (m, s))
+        mean = ss.sum() / mm.sum() if mm.sum() else 0.0
+        out.append(np.stack([share, (ss + 20 * mean) / (mm + 20)], axis=1))
+    return np.stack(out)
+
+
+def vectors(urls: list, hosts: list, paths: list, buckets: list, suffixes: np.ndarray, folds: list | None = None) -> np.ndarray:
+    """Features; `suffixes` has the tables of suffix_tables(), and of them the one without a row's fold is taken, or the last."""
     x = np.array([lexical(u or "", h, p) for u, h, p in zip(urls, hosts, paths, strict=True)]).reshape(len(urls), len(NAMES) - 2)
-    return np.concatenate([x, suffixes[np.array(buckets, dtype=int)]], axis=1)
+    return np.concatenate([x, suffixes[-1 if folds is None else np.array(folds, dtype=int), np.array(buckets, dtype=int)]], axis=1)
 
 
 def trained(rows: DataFrame, suffixes: np.ndarray, most: int = 20_000) -> Trees:
     """Trees from the rows that have a label (0 or 1): `most` of each label at most, chosen by a hash of the URL."""
     got = []
     for v in (0, 1):
-        some = rows.where(F.col("label") == v).select("url", "host", "path", suffix_bucket(F.col("host")).alias("b"), "label")
+        some = rows.where(F.col("label") == v).select("url", "host", "path", suffix_bucket(F.col("host")).alias("b"), fold_of(F.col("host")).alias("f"), "label")
         got += some.orderBy(F.xxhash64("url"), "url").limit(most).collect()
     if not got:
         return boosted(np.zeros((0, len(NAMES))), np.zeros(0))
+    urls, hosts, paths, b, f, y = zip(*got, strict=True)
+    return boosted(vectors(urls, hosts, paths, b, suffixes, f), np.array(y, dtype=float))
+
+
+def measured(labels: DataFrame, most: int = 20_000) -> dict[str, float]:
+    """Precision and recall of label 1 on the hosts of fold 0, by trees that are trained on the other folds alone; and the share of label 1 there (what calling all of them 1 would give)."""
+    rows = labels.select("url", F.col("label").cast("int").alias("label")).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    known = rows.where(fold_of(F.col("host")) != 0)
+    trees, suffixes = trained(known, tables := suffix_tables(known), most), tables
+    got = rows.where(fold_of(F.col("host")) == 0).select("url", "host", "path", suffix_bucket(F.col("host")).alias("b"), "label").orderBy(F.xxhash64("url"), "url").limit(most).collect()
+    if not got:
+        return {"rows": 0, "precision": 0.0, "recall": 0.0, "share": 0.0}
     urls, hosts, paths, b, y = zip(*got, strict=True)
-    return boosted(vectors(urls, hosts, paths, b, suffixes), np.array(y, dtype=float))
+    said, y = trees.score(vectors(urls, hosts, paths, b, suffixes)) >= 0.5, np.array(y) == 1
+    both = float((said & y).sum())
+    return {"rows": len(y), "precision": both / max(1, said.sum()), "recall": both / max(1, y.sum()), "share": float(y.mean())}
 
 
 def judged(df: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | None = None, url: str = "url") -> DataFrame:
@@ -182,7 +209,7 @@ def judged(df: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | None
     else:
         taught = labels.select("url", F.col("label").cast("int").alias("label")).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
         known = parsed.select(u.alias("url"), "host", "path", F.lit(None).cast("int").alias("label")).union(taught.select("url", "host", "path", "label"))
-    suffixes = suffix_table(known)
+    suffixes = suffix_tables(known)
     trees = trained(known.where("label is not null"), suffixes)
     shared = spark.sparkContext.broadcast((trees, suffixes))
 
@@ -208,7 +235,7 @@ def labelled(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url") -
     return pages.select(u.alias("url"), label.alias("label")).where("label is not null")
 
 
-def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's URL against five rules, then against trees taught by allowed URLs and a word list."""
+def op10_url_filter(spark: SparkSession, sf_dir: str, labels: DataFrame | None = None) -> DataFrame:
+    """Every page's URL against five rules, then against trees taught by `labels` (url, label), or without them by allowed URLs and a word list."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return judged(pages, RULES, labelled(pages, RULES)).select("page_id", "host", "path", "rule", "verdict", "score")
+    return judged(pages, RULES, labelled(pages, RULES) if labels is None else labels).select("page_id", "host", "path", "rule", "verdict", "score")
