@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
+import os
 import random
 import re
 import time
@@ -67,6 +69,37 @@ def test_shards(spark, monkeypatch, rows_in_bucket):
     assert {r.slot for r in HS.hilbert_shards(df.limit(3), ["a"], 8, "doc_id").collect()} == {0}
 
 
+def test_cells_keep_the_order_of_values(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([None, "", "a", "b", *["hot"] * 6, *[f"s{k}" for k in range(30)]]), rng.choice([None, float("nan"), *range(40)])) for i in range(700)]
+    df = spark.createDataFrame([(i, s, None if n is None else float(n)) for i, s, n in rows], "doc_id long, s string, n double")
+    got = {r.doc_id: r.hilbert for r in HS.hilbert_shards(df, ["s", "n"], 8, "doc_id", bits=3).collect()}
+    names = sorted(s.encode() for _, s, _ in rows if s is not None)
+    marks = [names[-(-i * len(names) // 8) - 1] for i in range(1, 8)]
+    numbers = HS.quantised(df, ["n"], 3)[0]
+    cells = {r.doc_id: r.c for r in df.select("doc_id", numbers.alias("c")).collect()}
+    table = HS.curve(2, 3)
+    for i, s, n in rows:
+        c = 0 if s is None else sum(s.encode() > m for m in marks)
+        assert got[i] == table[c << 3 | cells[i]]
+        assert cells[i] == 0 if n is None or n != n else True
+    order = sorted((n, cells[i]) for i, _, n in rows if n is not None and n == n)
+    assert [c for _, c in order] == sorted(c for _, c in order) and len({c for _, c in order}) == 8
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
+def test_shards_prune(spark):
+    read = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = HS.op1_hilbert_shards(spark, "/root/testdata/sf0.01").join(read.select("doc_id", "source", "lang"), "doc_id")
+    ends = got.groupBy("shard").agg(*[f(c).alias(f"{n}_{c}") for c in ("source", "lang", "size") for n, f in (("lo", F.min), ("hi", F.max))]).collect()
+    reads = lambda c, v: sum(r[f"lo_{c}"] <= v <= r[f"hi_{c}"] for r in ends)
+    sources = [r.source for r in got.groupBy("source").count().orderBy("count").collect()]
+    assert np.mean([reads("source", s) for s in sources]) <= 12
+    assert min(reads("lang", r.lang) for r in got.select("lang").distinct().collect()) <= 12
+    sizes = sorted(r["size"] for r in got.select("size").collect())
+    assert np.mean([reads("size", sizes[k * len(sizes) // 20]) for k in range(20)]) <= 12
+
+
 # -- 4 and 8 -------------------------------------------------------------------------------------
 
 
@@ -208,6 +241,19 @@ def test_pigeonhole_guarantee():
     assert all(set(ka[i]) & set(kb[i]) for i in range(200))
 
 
+def test_hot_keys_equal_an_exact_join(spark, monkeypatch):
+    """One text in 150 versions that differ by a word or two from it (all under its keys), and three other families that share a long passage with it; groups, blocks and the shuffled joins are all used."""
+    for name, value in (("GROUP", 7), ("BLOCK", 5), ("BLOCKS", 3), ("BROADCAST_IDS", 0)):
+        monkeypatch.setattr(minhash, name, value)
+    rng = random.Random(12)
+    base = words(rng, 100)
+    families = [base, *[" ".join(base.split()[:70]) + " " + words(rng, 30) for _ in range(3)]]
+    texts = [edited(rng, families[i % 8 % 4 if i % 3 == 0 else 0], rng.randrange(0, 3)) for i in range(220)]
+    rng.shuffle(texts)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, texts), width=4).collect()}
+    assert [got[i] for i in range(len(texts))] == expected_components(texts, 4)[0]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(50, 40), (60, 60), (70, 71), (71, 72), (72, 70), (None, 3)]
     got = {r.id: r.component for r in C.components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -247,6 +293,8 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, block_chars):
         body = "".join(rng.choice("abcde ") for _ in range(200))
         texts.append(body + " " + noisy(items[i % 8], i % 9) + " " + body[:50] if i % 4 else body)
     texts += [items[0], items[1].upper() + "!!", " ".join(items)]
+    named = spark.createDataFrame([("first", items[0]), ("second", items[1]), (None, items[2])], "item_id string, text string")
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(docs(spark, [items[0], "x", items[1]]), named).collect()} == {(0, "first"), (2, "second")}
     benchmark = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(90, None), (91, ""), (92, "...")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.distance for r in D.contaminated(docs(spark, texts, extra=True), benchmark).collect()}
     want = {}
@@ -357,17 +405,15 @@ def test_redaction_of_a_long_text(spark):
 
 def test_spans_of_one_text_take_linear_time(spark):
     def took(n):
-        best = 1e9
-        for _ in range(2):
-            began = time.time()
-            df = docs(spark, [f"é token=abcdef client_id=alice.{n} " * n])
-            assert secrets.secret_spans(df, keep_text=False).selectExpr("size(__spans) AS n").first().n == 2 * n
-            assert len(secrets.redacted(df).first().text) == len("é [SECRET] [SECRET] ") * n
-            best = min(best, time.time() - began)
-        return best
+        df = spark.range(1).select(F.repeat(F.lit(f"é token=abcdef client_id=alice.{n} "), n).alias("text"))
+        began = time.time()
+        assert secrets.secret_spans(df, keep_text=False).selectExpr("size(__spans) AS n").first().n == 2 * n
+        assert secrets.redacted(df).selectExpr("length(text) AS n").first().n == len("é [SECRET] [SECRET] ") * n
+        return time.time() - began
 
-    fixed, once, twice = took(1), took(20_000), took(40_000)
-    assert twice - fixed <= 2.2 * max(once - fixed, 1.0)
+    took(1)  # warm
+    fixed, once, twice = took(1), took(30_000), took(60_000)
+    assert twice - fixed <= 2.2 * (once - fixed) + 1.0
 
 
 def test_native_operators_plan_no_python(spark):
@@ -385,6 +431,13 @@ LICENSES = [
 ]
 
 
+def test_licenses_by_shuffled_joins(spark, monkeypatch):
+    texts = [*WRAPPED.values(), *["Released under the MIT License"] * 30, "nothing", None]
+    got = [tuple(r) for r in LI.license_labels(docs(spark, texts)).orderBy("doc_id").collect()]
+    monkeypatch.setattr("geotable.llm.common.BROADCAST_BYTES", -1)
+    assert got == [tuple(r) for r in LI.license_labels(docs(spark, texts)).orderBy("doc_id").collect()] and len(got) == len(texts)
+
+
 def test_licenses_equal_brute_force(spark):
     got = {r.doc_id: r for r in LI.license_labels(docs(spark, [*LICENSES, *LICENSES], extra=True)).collect()}
     word, up = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -440,7 +493,27 @@ def test_wrapped_licenses(spark):
 # -- 9 -------------------------------------------------------------------------------------------
 
 
-def test_fingerprints(spark, monkeypatch):
+def brute_spots(spark, text):
+    """Signatures by hand: words of letters and digits, chains of up to three content words that start anew at line ends, common words and full chains."""
+    chains, chain = [], []
+    for line in re.split(r"[\n|]", text.lower()):
+        for w in re.findall(r"[^\W_]+", line):
+            if w in spotsigs.ANCHORS or len(chain) == spotsigs.CHAIN:
+                chains.append(chain)
+                chain = []
+            if w not in spotsigs.ANCHORS:
+                chain.append(w)
+        chains.append(chain)
+        chain = []
+    names = sorted({" ".join(c) for c in chains if c})
+    if not names:
+        return set()
+    return {r.h for r in spark.createDataFrame([(n,) for n in names], "n string").select(F.hash("n").alias("h")).collect()}
+
+
+@pytest.mark.parametrize("rows", [0, 1_000_000])
+def test_fingerprints(spark, monkeypatch, rows):
+    monkeypatch.setattr(spotsigs, "BROADCAST_ROWS", rows)
     monkeypatch.setattr(spotsigs, "BUCKET", 3)
     rng = random.Random(4)
     texts = [*ODD, *[" the ".join(words(rng, 6) for _ in range(12)) for _ in range(20)], "same the text", "same the text"]
@@ -448,7 +521,8 @@ def test_fingerprints(spark, monkeypatch):
     df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r for r in spotsigs.fingerprints(df).collect()}
     cut = lambda f: {f[k : k + 8] for k in range(0, len(f), 8)}
-    like = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+    # sets whose lengths alone keep them under LEAST are not compared
+    like = lambda a, b: 1.0 if not a and not b else 0.0 if min(len(a), len(b)) < spotsigs.LEAST * max(len(a), len(b)) else len(a & b) / len(a | b)
     for k, i in enumerate(ids):
         x, y = texts[k] or "", texts[(k + 1) % len(texts)] or ""
         c = len(x) // 4
@@ -456,6 +530,7 @@ def test_fingerprints(spark, monkeypatch):
         assert (r.n_chars, r.edited_sha256) == (len(x), hashlib.sha256((x[: len(x) - c] + y[:c]).encode()).hexdigest())
         assert r.near_edited == pytest.approx(like(cut(r.fingerprint), cut(r.edited_fingerprint)))
         assert r.near_next == pytest.approx(like(cut(r.fingerprint), cut(nxt.fingerprint)))
+        assert cut(r.fingerprint) == {f"{h & 0xFFFFFFFF:08x}" for h in brute_spots(spark, x)}
     assert got[ids[-1]].fingerprint == got[ids[-2]].fingerprint
     one = spotsigs.fingerprints(docs(spark, ["only the text here"])).first()
     assert one.near_next == 1.0 and spotsigs.fingerprints(docs(spark, [])).count() == 0
@@ -582,6 +657,47 @@ def test_rules_equal_brute_force(spark):
     assert U.judged(df.limit(0), U.RULES).count() == 0
 
 
+def test_scores_of_trees_by_hand():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 5))
+    model = U.boosted(x, (x[:, 0] + x[:, 1] ** 2 > 0.5).astype(float), rounds=12)
+    for row, score in zip(x, model.score(x), strict=True):
+        z = model.base
+        for tree in model.trees:
+            at = 0
+            while tree[at][0] >= 0:
+                feature, cut, left, right, _ = tree[at]
+                at = left if sum(e <= row[feature] for e in model.edges[feature]) <= cut else right
+            z += tree[at][4]
+        assert score == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_url_labels_as_a_table_and_held_out_hosts(spark):
+    rng = random.Random(2)
+    host = lambda bad: f"{'-'.join(words(rng, 4 if bad else 1, 5000).split())}.{'biz' if bad else 'edu'}"
+    urls = [(f"http://{host(i % 3 == 0)}/a/{i}", int(i % 3 == 0)) for i in range(600)]
+    labels = spark.createDataFrame(urls, "url string, label int")
+    got = U.measured(labels)
+    assert got["rows"] > 80 and got["precision"] > 0.95 and got["recall"] > 0.95 and 0.2 < got["share"] < 0.5
+    pages = spark.createDataFrame([(i, f"https://{host(i % 2)}/x") for i in range(40)] * 2, "page_id long, url string")
+    said = U.judged(pages, U.RULES, labels).collect()
+    assert len(said) == 80 and np.mean([(r.verdict == "block") == (r.page_id % 2 == 1) for r in said]) > 0.95
+    assert U.measured(labels.limit(0))["rows"] == 0
+
+
+def test_suffix_rates_leave_their_own_fold_out(spark):
+    rows = spark.createDataFrame([(f"h{i}.{'biz' if i % 2 else 'edu'}", i % 2) for i in range(200)], "host string, label int")
+    some = rows.withColumn("f", U.fold_of(F.col("host"))).withColumn("b", U.suffix_bucket(F.col("host"))).collect()
+    tables = U.suffix_tables(rows)
+    for f in range(U.FOLDS):
+        rest = [r for r in some if r.f != f]
+        mean = np.mean([r.label for r in rest])
+        for b in {r.b for r in some}:
+            mine = [r.label for r in rest if r.b == b]
+            assert tables[f, b, 1] == pytest.approx((sum(mine) + 20 * mean) / (len(mine) + 20))
+    assert tables[-1, some[1].b, 1] == pytest.approx((100 + 20 * 0.5) / 120)
+
+
 def test_trees_on_held_out_urls():
     rng = random.Random(1)
     make = lambda bad: f"http://{'-'.join(words(rng, 3 if bad else 1).split())}.example.org/{'?a=1&b=2' if bad and rng.random() < 0.5 else 'x'}"
