@@ -4,26 +4,28 @@
     spark.read.format("features").option("rect", "8.8,47.2,9.5,55.3").option("columns", "name").load(path)
 
 Rows are (fid, bbox, geometry, attributes). A file's index gives the byte ranges of a rectangle's
-features on the driver; ranges with small gaps are read together. Without a rectangle, an index still
-tells where a file can be cut, so large files are read by many tasks.
+features on the driver, which reads no more of the index than the search visits; ranges with small gaps are read
+together. Without a rectangle, an index still tells where a file can be cut; a large file without one is cut by
+its size prefixes, which the driver follows. So large files are read by many tasks. Paths may be local, of an object
+store, or URLs of an HTTP server that knows ranges (option `headers`: JSON that goes with each request).
 
 Options: rect (minx,miny,maxx,maxy), columns (attributes to decode; the others are left out), geometry
 (false leaves it out), mode (FAILFAST, PERMISSIVE, DROPMALFORMED), table (features, index, header), gap
 (bytes), split (bytes), pushdown (true: rectangles come from filters on bbox; needs
 spark.sql.python.filterPushdown.enabled). To write: name, title, description, metadata, srid, index
-(false for none), node_size, promote_to_multi.
+(false for none), count (false leaves the count unknown, if there is no index), node_size, promote_to_multi.
 """
 
 from __future__ import annotations
 
 import decimal
 import glob
+import json
 import os
 import struct
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import (
     DataSource,
+    DataSourceArrowWriter,
     DataSourceReader,
     DataSourceStreamReader,
-    DataSourceWriter,
     GreaterThan,
     GreaterThanOrEqual,
     InputPartition,
@@ -48,19 +50,25 @@ from geotable.functions import geometry as G
 from geotable.functions.ddl import data_type, fields_of
 from geotable.operators import index as X
 from geotable.operators.lifecycle import ATTRIBUTES, attribute_code
+from geotable.sources import columnar
 from geotable.sources import layout as L
-
-ROWS = 4096
+from geotable.sources.ranged import PREFETCH, Ranged, Usage, filesystem, is_http
+
+ROWS = 8192
+#: Bytes that one read of a task asks for.
+BLOCK = 4 << 20
+#: Leaves of an index whose offsets the driver reads whole to cut a file; of larger ones it reads as many as there are parts.
+LEAVES = 1_000_000
+#: Bytes of written features that a task holds; beyond, they wait in the folder for temporary files.
+SPOOL = 64 << 20
 GAP = 256 * 1024
 SPLIT = 64 << 20
 
 
-def filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
-
-
 def files_of(path: str) -> list[str]:
     """Files of a path: one file, a directory's (hidden ones left out), or a local glob's; sorted."""
+    if is_http(path):
+        return [path]
     if any(c in path for c in "*?[") and "://" not in path:
         return sorted(p for p in glob.glob(path) if os.path.isfile(p))
     system, inner = filesystem(path)
@@ -84,42 +92,55 @@ class Opened:
     tree_at: int
     data_at: int
     size: int
+    headers: dict[str, str] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, path: str) -> Opened:
-        system, inner = filesystem(path)
-        with system.open_input_file(inner) as f:
-            size = f.size()
-            head = f.read_at(min(size, 4096), 0)
+    def of(cls, path: str, headers: dict[str, str] | None = None, source: Ranged | None = None) -> Opened:
+        with source or Ranged(path, headers) as f:
+            head = f.get(0, 12, PREFETCH)
             L.check_magic(head)
             if len(head) < 12:
                 raise L.Malformed("the header is missing")
             n = L.check_header_size(struct.unpack_from("<I", head, 8)[0])
-            raw = head[12 : 12 + n] if len(head) >= 12 + n else f.read_at(n, 12)
+            raw = f.get(12, n)
             if len(raw) < n:
                 raise L.Malformed("the header is cut short")
-        header = L.read_header(raw)
-        tree = L.tree_size(header)
-        if 12 + n + tree > size:
-            raise L.Malformed("the index exceeds the file")
-        return cls(path, header, 12 + n, 12 + n + tree, size)
+            size = f.size
+            header = L.read_header(raw)
+            tree = L.tree_size(header)
+            if 12 + n + tree > size:
+                raise L.Malformed("the index exceeds the file")
+            return cls(path, header, 12 + n, 12 + n + tree, size, headers or {})
+
+    def open(self) -> Ranged:
+        return Ranged(self.path, self.headers)
 
     def tree(self) -> bytes:
-        system, inner = filesystem(self.path)
-        with system.open_input_file(inner) as f:
-            return f.read_at(self.data_at - self.tree_at, self.tree_at)
+        with self.open() as f:
+            return f.get(self.tree_at, self.data_at - self.tree_at)
+
+    def walk(self, every: int) -> tuple[list[tuple[int, int]], int]:
+        """Where the data can be cut, as (start, id) each `every` bytes or more, and the number of features, by their size prefixes. Ends early at one that can't be."""
+        cuts, n, at = [(self.data_at, 0)], 0, self.data_at
+        with self.open() as f:
+            block, base = b"", at
+            while at + 4 <= self.size:
+                if at + 4 - base > len(block):
+                    block, base = f.get(at, min(self.size - at, BLOCK)), at
+                    if len(block) < 4:
+                        break
+                size = struct.unpack_from("<I", block, at - base)[0]
+                if size < 4 or at + 4 + size > self.size:
+                    break
+                if at - cuts[-1][0] >= every:
+                    cuts.append((at, n))
+                at += 4 + size
+                n += 1
+        return cuts, n
 
     def count(self) -> int:
         """The header's count, or where that is unknown the number of size prefixes."""
-        if self.header.features_count:
-            return self.header.features_count
-        system, inner = filesystem(self.path)
-        n, at = 0, self.data_at
-        with system.open_input_file(inner) as f:
-            while at + 4 <= self.size:
-                at += 4 + struct.unpack("<I", f.read_at(4, at))[0]
-                n += 1
-        return n
+        return self.header.features_count or self.walk(self.size)[1]
 
 
 def header_row(h: L.Header) -> dict:
@@ -187,44 +208,69 @@ def rect_of(options: dict) -> B.Rect | None:
 
 @dataclass
 class Part(InputPartition):
-    """Byte ranges of one file; each is (start, end, id of its first feature or ids, if they don't follow each other)."""
+    """Byte ranges of one file: (start, end, runs), where a run (start, end, id of its first feature) has features that follow each other."""
 
     opened: Opened
-    ranges: list[tuple[int, int, list[int] | int]]
+    ranges: list[tuple[int, int, list[tuple[int, int, int]]]]
     fid0: int
 
 
-def _batches(opened: Opened, rect: B.Rect | None, gap: int, split: int, fid0: int) -> list[Part]:
-    h = opened.header
-    indexed = opened.data_at > opened.tree_at
-    if not indexed:
-        return [Part(opened, [(opened.data_at, opened.size, 0)], fid0)] if opened.size > opened.data_at else []
-    raw = opened.tree()
-    offsets = L.leaf_offsets(raw, h.features_count, h.index_node_size)
-    clustered = bool((np.diff(offsets) > 0).all()) and (not len(offsets) or offsets[0] == 0)
-    if not clustered:  # leaves point anywhere: features are in another order, so the file is read through
-        return [Part(opened, [(opened.data_at, opened.size, 0)], fid0)]
-    ends = np.append(offsets[1:], opened.size - opened.data_at)
-    hits = np.arange(len(offsets)) if rect is None else np.array(L.search_tree(raw, h.features_count, h.index_node_size, rect), dtype=np.int64)
-    parts: list[Part] = []
-    ranges: list[tuple[int, int, list[int]]] = []
-    taken = 0
-    for i in hits:
-        a, b = int(offsets[i]) + opened.data_at, int(ends[i]) + opened.data_at
-        if taken >= split:
-            parts.append(Part(opened, ranges, fid0))
-            ranges, taken = [], 0
-        if ranges and a - ranges[-1][1] <= gap:
-            ranges[-1] = (ranges[-1][0], b, ranges[-1][2] + [int(i)])
+def runs_of(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, gap: int, split: int) -> list[list[tuple[int, int, list[tuple[int, int, int]]]]]:
+    """Ranges of features (rising ids and starts) for each part of about `split` bytes: ranges join runs that lie at most `gap` bytes apart."""
+    if not len(ids):
+        return []
+    part = (np.cumsum(ends - starts) - (ends - starts)) // max(1, split)
+    fresh = np.flatnonzero((np.diff(ids) != 1) | (np.diff(part) > 0)) + 1
+    first = np.concatenate([[0], fresh])
+    a, b, i, p = starts[first].tolist(), ends[np.concatenate([fresh, [len(ids)]]) - 1].tolist(), ids[first].tolist(), part[first].tolist()
+    out: list[list[tuple[int, int, list]]] = []
+    last = None
+    for run in zip(a, b, i, p, strict=True):
+        if run[3] != last:
+            out.append([])
+            last = run[3]
+        here = out[-1]
+        if here and run[0] - here[-1][1] <= gap:
+            here[-1][2].append(run[:3])
+            here[-1] = (here[-1][0], run[1], here[-1][2])
+        else:
+            here.append((run[0], run[1], [run[:3]]))
+    return out
+
+
+def _pieces(opened: Opened, cuts: list[tuple[int, int]], fid0: int) -> list[Part]:
+    stops = [at for at, _ in cuts[1:]] + [opened.size]
+    return [Part(opened, [(a, b, [(a, b, i)])], fid0) for (a, i), b in zip(cuts, stops, strict=True) if b > a]
+
+
+def _batches(opened: Opened, rect: B.Rect | None, gap: int, split: int, fid0: int, source: Ranged | None = None) -> tuple[list[Part], int | None]:
+    """The parts of a file, and its number of features if that had to be counted."""
+    h, data = opened.header, opened.size - opened.data_at
+    if opened.data_at == opened.tree_at:
+        if h.features_count and data <= split:
+            return _pieces(opened, [(opened.data_at, 0)], fid0), None
+        cuts, n = opened.walk(split)
+        return _pieces(opened, cuts, fid0), h.features_count or n
+    n = h.features_count
+    with source or opened.open() as f:
+        read = lambda at, k: f.get(opened.tree_at + at, k)
+        start = X.level_bounds(n, h.index_node_size)[0][0]
+        some = np.arange(n) if n <= LEAVES else np.unique(np.linspace(0, n - 1, min(n, data // split + 2), dtype=np.int64))
+        if rect is not None:
+            ids, offsets, ends = L.search_levels(read, n, h.index_node_size, rect, gap)
+            ends = np.where(ends < 0, data, ends)
+            clustered = bool((ends > offsets).all() and (np.diff(offsets) > 0).all())
         else:
-            ranges.append((a, b, [int(i)]))
-        taken += b - a
-    if ranges:
-        parts.append(Part(opened, ranges, fid0))
-    starts = {int(i): int(offsets[i]) + opened.data_at for i in hits} if rect is not None else {}
-    for p in parts:  # ids that follow each other need no list; with gaps, places tell which features to take
-        p.ranges = [(a, b, ids[0] if ids[-1] - ids[0] == len(ids) - 1 else [(i, starts[i]) for i in ids]) for a, b, ids in p.ranges]  # type: ignore[misc]
-    return parts
+            offsets = L.nodes_at(read, start, some, gap if n <= LEAVES else 0)[0]["offset"].astype(np.int64)
+            clustered = bool((np.diff(offsets) > 0).all()) and offsets[0] == 0
+    if not clustered:  # leaves point anywhere: features are in another order, so the file is read through
+        cuts, _ = opened.walk(split)
+        return _pieces(opened, cuts, fid0), None
+    if rect is not None:
+        return [Part(opened, ranges, fid0) for ranges in runs_of(ids, offsets + opened.data_at, ends + opened.data_at, gap, split)], None
+    part = offsets // split
+    at = np.concatenate([[0], np.flatnonzero(np.diff(part) > 0) + 1])
+    return _pieces(opened, list(zip((offsets[at] + opened.data_at).tolist(), some[at].tolist(), strict=True)), fid0), None
 
 
 class Reader(DataSourceReader):
@@ -236,11 +282,13 @@ class Reader(DataSourceReader):
         gap, split = int(self.options.get("gap", GAP)), int(self.options.get("split", SPLIT))
         if gap < 0:
             raise ValueError("gap is at least 0")
-        out, fid = [], 0
-        for p in files_of(self.path):
-            opened = Opened.of(p)
-            out += _batches(opened, self.rect, gap, split, fid)
-            fid += opened.count()
+        files, out, fid = files_of(self.path), [], 0
+        for p in files:
+            opened = Opened.of(p, headers_of(self.options))
+            parts, counted = _batches(opened, self.rect, gap, split, fid)
+            out += parts
+            if p != files[-1]:
+                fid += opened.count() if counted is None else counted
         return out or [Part(None, [], 0)]  # type: ignore[arg-type]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
@@ -266,30 +314,43 @@ class PushdownReader(Reader):
             self.rect = (max(own[0], pushed[0]), max(own[1], pushed[1]), min(own[2], pushed[2]), min(own[3], pushed[3]))
 
 
-def _features(part: Part) -> Iterator[tuple[int, bytes]]:
-    """(id, flat buffer) of the features in a part's ranges."""
-    system, inner = filesystem(part.opened.path)
-    with system.open_input_file(inner) as f:
-        for start, end, ids in part.ranges:
-            places = dict((at, i) for i, at in ids) if isinstance(ids, list) else None
-            fid, at, block, base = (0 if places else ids), start, b"", start
-            while at < end:
-                if at + 4 - base > len(block):
-                    block, base = f.read_at(min(end - at, 4 << 20), at), at
-                if len(block) - (at - base) < 4:
-                    raise L.Malformed("a size prefix is cut short")
-                n = struct.unpack_from("<I", block, at - base)[0]
-                if not 4 <= n <= L.FEATURE_LIMIT:
-                    raise L.Malformed(f"a feature of {n} bytes")
-                if at + 4 + n - base > len(block):
-                    block, base = f.read_at(max(4 + n, min(end - at, 4 << 20)), at), at
-                raw = block[at - base + 4 : at - base + 4 + n]
-                if len(raw) < n:
-                    raise L.Malformed("a feature is cut short")
-                if places is None or at in places:
-                    yield part.fid0 + (fid if places is None else places[at]), raw
-                fid += 1
-                at += 4 + n
+def _chunks(part: Part) -> Iterator[tuple[bytes, list[int], list[int], list[int], L.Malformed | None]]:
+    """(block, starts, sizes, ids) of up to ROWS features (without size prefix), and what stopped the walk, if anything."""
+    with part.opened.open() as f:
+        for range_end, runs in ((b, runs) for _, b, runs in part.ranges):
+            block, base = b"", 0
+            for start, end, fid in runs:
+                at, got = start, ([], [], [])
+                while at < end:
+                    bad = None
+                    if at + 4 - base > len(block) or at < base or at + 4 + struct.unpack_from("<I", block, at - base)[0] - base > len(block):
+                        if got[0]:
+                            yield block, *got, None
+                            got = ([], [], [])
+                        block, base = f.get(at, min(range_end - at, BLOCK)), at
+                        n = struct.unpack_from("<I", block)[0] if len(block) >= 4 else 0
+                        if len(block) >= 4 and 4 <= n <= L.FEATURE_LIMIT and 4 + n > len(block):
+                            block = f.get(at, 4 + n)
+                    if len(block) - (at - base) < 4:
+                        bad = L.Malformed("a size prefix is cut short")
+                    else:
+                        n = struct.unpack_from("<I", block, at - base)[0]
+                        if not 4 <= n <= L.FEATURE_LIMIT:
+                            bad = L.Malformed(f"a feature of {n} bytes")
+                        elif at + 4 + n - base > len(block) or at + 4 + n > end:
+                            bad = L.Malformed("a feature is cut short")
+                    if bad:
+                        yield block, *got, bad
+                        return
+                    for one, v in zip(got, (at - base + 4, n, part.fid0 + fid), strict=True):
+                        one.append(v)
+                    fid += 1
+                    at += 4 + n
+                    if len(got[0]) >= ROWS:
+                        yield block, *got, None
+                        got = ([], [], [])
+                if got[0]:
+                    yield block, *got, None
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -322,17 +383,20 @@ def read_part(part: Part, schema: T.StructType, mode: str, rect: B.Rect | None)
     columns = {n: names.index(n) for n in schema.names if n in names}
     wanted = set(columns.values())
     geometry = "geometry" in schema.names
-    rows: list[dict] = []
-    features = _features(part)
-    while True:
-        try:
-            fid, raw = next(features)
-        except StopIteration:
-            break
-        except L.Malformed:
-            if mode == "FAILFAST":
-                raise
-            break  # without its size the next feature can't be found
+    for block, starts, sizes, fids, bad in _chunks(part):
+        if starts:
+            whole = columnar.decode(block, np.array(starts), np.array(sizes), np.array(fids), h, columns, out_schema, rect)
+            if whole is None:  # unusual or malformed features: one by one
+                whole = pa.RecordBatch.from_pylist(list(_rows(h, [(i, block[a : a + n]) for a, n, i in zip(starts, sizes, fids, strict=True)], columns, wanted, geometry, rect, mode)), schema=out_schema)
+            if whole.num_rows:
+                yield whole
+        if bad is not None and mode == "FAILFAST":
+            raise bad
+        # otherwise the part ends here: without its size the next feature can't be found
+
+
+def _rows(h: L.Header, features: list[tuple[int, bytes]], columns: dict[str, int], wanted: set[int], geometry: bool, rect: B.Rect | None, mode: str) -> Iterator[dict]:
+    for fid, raw in features:
         row: dict = {"fid": fid}
         try:
             g, props = L.read_feature(raw, h, True, wanted)
@@ -348,12 +412,38 @@ def read_part(part: Part, schema: T.StructType, mode: str, rect: B.Rect | None)
                 raise
             if mode == "DROPMALFORMED":
                 continue
-        rows.append(row)
-        if len(rows) >= ROWS:
-            yield pa.RecordBatch.from_pylist(rows, schema=out_schema)
-            rows = []
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema=out_schema)
+        yield row
+
+
+def headers_of(options: dict) -> dict[str, str]:
+    """Headers of HTTP requests, from the option `headers`."""
+    return json.loads(options.get("headers") or "{}")
+
+
+def usage(path: str, rect: B.Rect | None = None, gap: int = GAP, headers: dict[str, str] | None = None) -> dict[str, int]:
+    """What a scan of one file asks for: requests and bytes to open it, and in all; features; and bytes fetched that it makes no use of."""
+    source = Ranged(path, headers)
+    opened = Opened.of(path, headers, _kept(source))
+    first = (source.usage.requests, source.usage.fetched)
+    parts, _ = _batches(opened, rect, gap, SPLIT, 0, _kept(source))
+    wanted = sum(b - a for p in parts for _, _, runs in p.ranges for a, b, _ in runs)
+    ranges = [(a, b) for p in parts for a, b, _ in p.ranges]
+    total = Usage(source.usage.requests + sum(-(-(b - a) // BLOCK) for a, b in ranges), source.usage.fetched + sum(b - a for a, b in ranges), source.usage.used + wanted)
+    with source:
+        return {"open_requests": first[0], "open_bytes": first[1], "requests": total.requests, "bytes": total.fetched, "wasted": total.fetched - total.used}
+
+
+class _kept:  # noqa: N801
+    """A source that stays open when a block that uses it ends."""
+
+    def __init__(self, source: Ranged):
+        self.source = source
+
+    def __enter__(self) -> Ranged:
+        return self.source
+
+    def __exit__(self, *_) -> None:
+        pass
 
 
 class IndexReader(DataSourceReader):
@@ -412,7 +502,7 @@ class StreamReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Part]:
         low, high = (start["time"], start["path"]), (end["time"], end["path"])
         rect = rect_of(self.options)
-        return [part for f in self._files() if low < f <= high for part in _batches(Opened.of(f[1]), rect, GAP, SPLIT, 0)]
+        return [part for f in self._files() if low < f <= high for part in _batches(Opened.of(f[1]), rect, GAP, SPLIT, 0)[0]]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         return read_part(partition, self.schema_, self.options.get("mode", "FAILFAST").upper(), rect_of(self.options))
@@ -424,8 +514,50 @@ class Written(WriterCommitMessage):
     final: str | None
 
 
-class Writer(DataSourceWriter):
-    """One file a task. Features wait in a temporary file of the task while their boxes (40 bytes each) are in memory,
+class _Spool:
+    """Encoded features of a task, by number. Beyond SPOOL bytes they wait in a temporary file of the target's own folder, never on the machine's disk."""
+
+    def __init__(self, system: fs.FileSystem, at: str):
+        self.system, self.at, self.out = system, at, None
+        self.held: list[bytes] = []
+        self.sizes: list[int] = []
+        self.flushed, self.bytes, self.written = 0, 0, 0
+
+    def add(self, features: list[bytes]) -> None:
+        self.held += features
+        self.sizes += map(len, features)
+        self.bytes += sum(map(len, features))
+        if self.bytes > SPOOL:
+            if self.out is None:
+                self.system.create_dir(os.path.dirname(self.at), recursive=True)
+                self.out = self.system.open_output_stream(self.at)
+            self.out.write(b"".join(self.held))
+            self.flushed += len(self.held)
+            self.held, self.bytes = [], 0
+
+    def copy(self, order: np.ndarray, out) -> None:
+        """Features in this order. From a file they are taken for SPOOL bytes of the order at a time, each time in the file's own order, near ones in one read."""
+        if self.out is None:
+            for k in range(0, len(order), ROWS):
+                out.write(b"".join([self.held[i] for i in order[k : k + ROWS].tolist()]))
+            return
+        self.out.close()
+        starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        share = (np.cumsum(np.array(self.sizes)[order]) // SPOOL).astype(np.int64)
+        with self.system.open_input_file(self.at) as f:
+            for some in np.split(order, np.flatnonzero(np.diff(share) > 0) + 1):
+                got = {i: self.held[i - self.flushed] for i in some[some >= self.flushed].tolist()}
+                early = np.sort(some[some < self.flushed])
+                for run in np.split(early, np.flatnonzero(starts[early[1:]] - starts[early[:-1] + 1] > GAP) + 1) if len(early) else ():
+                    first = int(starts[run[0]])
+                    block = f.read_at(int(starts[run[-1] + 1]) - first, first)
+                    got |= {i: block[a - first : b - first] for i, a, b in zip(run.tolist(), starts[run].tolist(), starts[run + 1].tolist(), strict=True)}
+                out.write(b"".join([got[i] for i in some.tolist()]))
+        self.system.delete_file(self.at)
+
+
+class Writer(DataSourceArrowWriter):
+    """One file a task. Features are encoded a batch at a time and spooled while their boxes (32 bytes each) are in memory,
     are then ordered along the curve, and are copied behind header and index. Commit moves the files in place."""
 
     def __init__(self, options: dict, schema: T.StructType, path: str, overwrite: bool):
@@ -448,53 +580,63 @@ class Writer(DataSourceWriter):
         if node_size:
             X.check_node_size(node_size)
         promote = _flag(o, "promote_to_multi", False)
-        boxes: list = []
-        sizes: list[int] = []
+        system, inner = filesystem(self.path)
+        name = f"part-{uuid.uuid4().hex}.bin"
+        temporary = f"{inner}/_temporary-{self.job}/{name}"
+        spool = _Spool(system, f"{temporary}.features")
+        boxes: list[np.ndarray] = []
         types: set[int] = set()
         flags = {"z": False, "m": False, "t": False, "tm": False}
-        with tempfile.TemporaryFile() as held:
-            for row in iterator:
-                g = row["geometry"]
-                if g is not None:
-                    g = g.asDict(recursive=True)
-                    if promote and g["type"] in (2, 3):
-                        g = {"type": g["type"] + 3, "parts": [p | ({"path": [0], "type": 3} if g["type"] == 3 else {"type": 5}) for p in g["parts"]]}
-                    for p in g["parts"]:
-                        for k in flags:
-                            flags[k] |= bool(p.get(k))
-                    types.add(g["type"])
-                arrays = g and {"type": g["type"], "parts": [{k: (np.asarray(v, dtype="<f8") if k == "xy" and v is not None else v) for k, v in p.items()} for p in g["parts"]]}
-                raw = L.write_feature(arrays, [row[c.name] for c in columns], columns)
-                held.write(raw)
-                sizes.append(len(raw))
-                box = L.box_of(arrays)
-                boxes.append(box or (np.inf, np.inf, -np.inf, -np.inf))
-            if not sizes:
-                return Written(None, None)
-            b, starts = np.array(boxes), np.concatenate([[0], np.cumsum(sizes)])
-            real = np.isfinite(b).all(axis=1)
-            order = np.arange(len(b))
+        for batch in iterator:
+            if not batch.num_rows:
+                continue
+            rows, box, boxed, seen, some = columnar.encode(batch, columns) if not promote else ([None] * batch.num_rows, np.full((batch.num_rows, 4), np.nan), None, set(), {})
+            types |= seen
+            for k, v in some.items():
+                flags[k] |= v
+            odd = [i for i, r in enumerate(rows) if r is None]
+            for i, row in zip(odd, batch.take(pa.array(odd, pa.int32())).to_pylist(), strict=True):
+                rows[i], own = self._one(row, columns, promote, types, flags)
+                if own:
+                    box[i] = own
+            box[np.isnan(box).any(axis=1)] = (np.inf, np.inf, -np.inf, -np.inf)
+            spool.add(rows)  # type: ignore[arg-type]
+            boxes.append(box)
+        if not boxes:
+            return Written(None, None)
+        b, sizes = np.concatenate(boxes), np.array(spool.sizes)
+        real = np.isfinite(b).all(axis=1)
+        order = np.arange(len(b))
+        if node_size:
+            order = np.concatenate([np.flatnonzero(real)[L.hilbert_order(b[real])] if real.any() else order[:0], np.flatnonzero(~real)])
+        envelope = [*b[real][:, :2].min(axis=0).tolist(), *b[real][:, 2:].max(axis=0).tolist()] if real.any() else None
+        known = _flag(o, "count", True) or node_size  # an index needs the count
+        header = L.Header(
+            name=o.get("name"), envelope=envelope, geometry_type=types.pop() if len(types) == 1 else 0, has_z=flags["z"], has_m=flags["m"], has_t=flags["t"], has_tm=flags["tm"],
+            columns=columns, features_count=len(b) if known else 0, index_node_size=node_size, crs=L.Crs(code=int(o["srid"])) if o.get("srid") else None,
+            title=o.get("title"), description=o.get("description"), metadata=o.get("metadata"),
+        )
+        system.create_dir(os.path.dirname(temporary), recursive=True)
+        with system.open_output_stream(temporary) as out:
+            out.write(L.MAGIC + L.write_header(header))
             if node_size:
-                order = np.concatenate([np.flatnonzero(real)[L.hilbert_order(b[real])] if real.any() else order[:0], np.flatnonzero(~real)])
-            envelope = [*b[real][:, :2].min(axis=0).tolist(), *b[real][:, 2:].max(axis=0).tolist()] if real.any() else None
-            header = L.Header(
-                name=o.get("name"), envelope=envelope, geometry_type=types.pop() if len(types) == 1 else 0, has_z=flags["z"], has_m=flags["m"], has_t=flags["t"], has_tm=flags["tm"],
-                columns=columns, features_count=len(b), index_node_size=node_size, crs=L.Crs(code=int(o["srid"])) if o.get("srid") else None,
-                title=o.get("title"), description=o.get("description"), metadata=o.get("metadata"),
-            )
-            system, inner = filesystem(self.path)
-            name = f"part-{uuid.uuid4().hex}.bin"
-            temporary = f"{inner}/_temporary-{self.job}/{name}"
-            system.create_dir(os.path.dirname(temporary), recursive=True)
-            with system.open_output_stream(temporary) as out:
-                out.write(L.MAGIC + L.write_header(header))
-                if node_size:
-                    out.write(L.build_tree(b[order], np.concatenate([[0], np.cumsum(np.array(sizes)[order])])[:-1], node_size))
-                for i in order:
-                    held.seek(int(starts[i]))
-                    out.write(held.read(sizes[i]))
+                out.write(L.build_tree(b[order], np.concatenate([[0], np.cumsum(sizes[order])])[:-1], node_size))
+            spool.copy(order, out)
         return Written(temporary, f"{inner}/{name}")
 
+    def _one(self, row: dict, columns: list[L.Column], promote: bool, types: set[int], flags: dict[str, bool]) -> tuple[bytes, tuple | None]:
+        """A row of any geometry as a feature, with its box."""
+        g = row["geometry"]
+        if g is not None:
+            if promote and g["type"] in (2, 3):
+                g = {"type": g["type"] + 3, "parts": [p | ({"path": [0], "type": 3} if g["type"] == 3 else {"type": 5}) for p in g["parts"]]}
+            for p in g["parts"]:
+                for k in flags:
+                    flags[k] |= bool(p.get(k))
+            types.add(g["type"])
+        arrays = g and {"type": g["type"], "parts": [{k: (np.asarray(v, dtype="<f8") if k == "xy" and v is not None else v) for k, v in p.items()} for p in g["parts"]]}
+        return L.write_feature(arrays, [row[c.name] for c in columns], columns), L.box_of(arrays)
+
     def commit(self, messages: list) -> None:
         system, inner = filesystem(self.path)
         if self.overwrite:
@@ -539,7 +681,7 @@ class FeatureSource(DataSource):
         if not found:
             raise ValueError(f"no files in {self._path()}")
         wanted = self.options.get("columns")
-        return schema_of(Opened.of(found[0]).header, None if wanted is None else [c.strip() for c in wanted.split(",") if c.strip()], _flag(self.options, "geometry", True))
+        return schema_of(Opened.of(found[0], headers_of(self.options)).header, None if wanted is None else [c.strip() for c in wanted.split(",") if c.strip()], _flag(self.options, "geometry", True))
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         table = self.options.get("table", "features")

@@ -290,6 +290,45 @@ def search_tree(raw: bytes, n: int, node_size: int, rect) -> list[int]:
     return kept.tolist()
 
 
+def search_levels(read, n: int, node_size: int, rect, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers, offsets, ends) of the leaves that meet the rectangle, reading no more of a tree than the search visits; an end of -1 is the last leaf's.
+
+    `read(at, n)` gives bytes of the tree. Children that lie at most `gap` bytes apart are read together.
+    """
+    bounds = level_bounds(n, node_size)
+    kept = np.array([0], dtype=np.int64)
+    for level in range(len(bounds) - 1, -1, -1):
+        start, end = bounds[level]
+        if level < len(bounds) - 1:
+            kept = (kept[:, None] * node_size + np.arange(node_size)).ravel()
+            kept = kept[kept < end - start]
+        last = np.minimum(kept + 1, end - start - 1)  # a leaf ends where the next one starts
+        nodes, after = nodes_at(read, start, kept, gap, last if level == 0 else None)
+        meets = (nodes["minx"] <= rect[2]) & (nodes["maxx"] >= rect[0]) & (nodes["miny"] <= rect[3]) & (nodes["maxy"] >= rect[1])
+        if not level:
+            ends = np.where(kept[meets] + 1 < n, after["offset"][meets].astype(np.int64), -1)
+            return kept[meets], nodes["offset"][meets].astype(np.int64), ends
+        kept = kept[meets]
+    raise AssertionError
+
+
+def nodes_at(read, start: int, numbers: np.ndarray, gap: int, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of a level by number (rising), and those of `after`; a run of near ones is one read."""
+    out, more = np.zeros(len(numbers), NODE), np.zeros(len(numbers), NODE)
+    if not len(numbers):
+        return out, more
+    cuts = np.flatnonzero(np.diff(numbers) * NODE.itemsize > gap + NODE.itemsize) + 1
+    for part in np.split(np.arange(len(numbers)), cuts):
+        a, b = int(numbers[part[0]]), int((numbers if after is None else after)[part[-1]]) + 1
+        block = np.frombuffer(read((start + a) * NODE.itemsize, (b - a) * NODE.itemsize), NODE)
+        if len(block) < b - a:
+            raise Malformed("the index is cut short")
+        out[part] = block[numbers[part] - a]
+        if after is not None:
+            more[part] = block[after[part] - a]
+    return out, more
+
+
 def leaf_offsets(raw: bytes, n: int, node_size: int) -> np.ndarray:
     start, end = level_bounds(n, node_size)[0]
     return np.frombuffer(raw, NODE)["offset"][start:end].astype(np.int64)
@@ -422,16 +461,16 @@ def _geometry(b: flatbuffers.Builder, code: int, parts: list[dict], with_type: b
 
 def write_properties(values: list, columns: list[Column]) -> bytes:
     """Pairs of column number and value; nulls are left out."""
-    out = []
-    for i, (v, c) in enumerate(zip(values, columns, strict=True)):
-        if v is None:
-            continue
-        if c.type in _FIXED:
-            out.append(struct.pack("<H" + _FIXED[c.type][1], i, float(v) if c.type in (9, 10) else bool(v) if c.type == 2 else int(v)))
-        else:
-            raw = bytes(v) if isinstance(v, bytes | bytearray) else (v if isinstance(v, str) else v.isoformat() if hasattr(v, "isoformat") else str(v)).encode("utf-8")
-            out.append(struct.pack("<HI", i, len(raw)) + raw)
-    return b"".join(out)
+    return b"".join(write_property(i, v, c) for i, (v, c) in enumerate(zip(values, columns, strict=True)))
+
+
+def write_property(i: int, v, c: Column) -> bytes:
+    if v is None:
+        return b""
+    if c.type in _FIXED:
+        return struct.pack("<H" + _FIXED[c.type][1], i, float(v) if c.type in (9, 10) else bool(v) if c.type == 2 else int(v))
+    raw = bytes(v) if isinstance(v, bytes | bytearray) else (v if isinstance(v, str) else v.isoformat() if hasattr(v, "isoformat") else str(v)).encode("utf-8")
+    return struct.pack("<HI", i, len(raw)) + raw
 
 
 def write_feature(geometry: dict | None, values: list, columns: list[Column], header_type: int = 0) -> bytes:

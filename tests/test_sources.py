@@ -1,8 +1,13 @@
 from __future__ import annotations
 
+import datetime
 import decimal
+import http.server
+import itertools
 import json
 import os
+import threading
+import time
 
 import numpy as np
 import pytest
@@ -57,6 +62,131 @@ def test_split_into_parts(spark, tmp_path):
     assert df.rdd.getNumPartitions() > 5 and df.select("fid").distinct().count() == 400
 
 
+def test_a_million_leaves_are_planned_in_no_time(tmp_path):
+    n = 1_000_000
+    x = np.arange(n) % 1000 * 0.3 - 150
+    y = np.arange(n) // 1000 * 0.1 - 50
+    boxes = np.stack([x, y, x + 0.01, y + 0.01], axis=1)
+    body = L.write_feature({"type": 1, "parts": [{"path": [], "type": 1, "xy": [1.0, 2.0]}]}, [], [])
+    path = str(tmp_path / "many.bin")
+    with open(path, "wb") as f:
+        f.write(L.MAGIC + L.write_header(L.Header(features_count=n)) + L.build_tree(boxes, np.arange(n) * len(body), 16))
+        f.write(body * n)
+    opened = binary.Opened.of(path)
+    began = time.time()
+    parts, _ = binary._batches(opened, None, binary.GAP, 8 << 20, 0)
+    every, _ = binary._batches(opened, (-200.0, -200.0, 200.0, 200.0), 0, 8 << 20, 0)
+    some, _ = binary._batches(opened, (0.0, 0.0, 0.2, 90.0), 0, 8 << 20, 0)
+    assert time.time() - began < 6
+    assert len(parts) > 5 and len(every) == len(parts) and all(len(p.ranges) == 1 for p in every)
+    assert sum(len(runs) for p in some for _, _, runs in p.ranges) == 500
+    # features follow each other from part to part
+    stops = [(a, b, i) for p in parts for _, _, runs in p.ranges for a, b, i in runs]
+    assert all(x[1] == y[0] and y[2] == (y[0] - opened.data_at) // len(body) for x, y in itertools.pairwise(stops)) and stops[-1][1] == opened.size
+    monkey = binary.LEAVES
+    try:  # larger indexes are sampled
+        binary.LEAVES = 1000
+        assert [p.ranges for p in binary._batches(opened, None, binary.GAP, 8 << 20, 0)[0]][-1][0][1] == opened.size
+    finally:
+        binary.LEAVES = monkey
+
+
+def test_unindexed_files_are_split(spark, tmp_path):
+    path = str(tmp_path / "a")
+    binary.write(grid(spark).coalesce(1), path, index="false", count="false")
+    df = binary.read(spark, path, split=3000)
+    assert df.rdd.getNumPartitions() > 4
+    got = {r.key: r.fid for r in df.collect()}
+    assert sorted(got.values()) == list(range(400)) and got == {r.key: r.fid for r in binary.read(spark, path).collect()}
+    assert binary.header_info(spark, path).first().features_count == 0 and binary.count_features(spark, path) == 400
+
+
+@pytest.mark.parametrize("spool", [1 << 30, 500])
+def test_batches_equal_features_one_by_one(spark, tmp_path, monkeypatch, spool):
+    """What the batch encoder and decoder make equals what the table reader and writer make, for plain and unusual features mixed."""
+    monkeypatch.setattr(binary, "SPOOL", spool)
+    rng = np.random.default_rng(5)
+    part = lambda **k: {"path": [], "type": 2, "ends": None, "xy": None, "z": None, "m": None, "t": None, "tm": None} | k
+    line = lambda n, **k: {"type": 2, "parts": [part(xy=rng.normal(size=2 * n).tolist(), **k)]}
+    shapes = [line(1 + i % 5) for i in range(60)] + [None, {"type": 1, "parts": [part(type=1, xy=[float("nan"), 1.0])]}, line(3, z=[1.0, 2.0, 3.0]), line(2, m=[0.5, 0.25]), line(0), {"type": 3, "parts": [part(type=3, xy=rng.normal(size=16).tolist(), ends=[4, 8])]}]
+    odd = [line(2, t=[1.0, 2.0]), {"type": 6, "parts": [part(type=3, path=[0], xy=[0.0, 0.0, 1.0, 0.0, 1.0, 1.0, 0.0, 0.0])]}]
+    schema = T.StructType([T.StructField("geometry", binary.data_type(G.TYPE)), T.StructField("k", T.LongType()), T.StructField("s", T.StringType()), T.StructField("b", T.BooleanType()), T.StructField("raw", T.BinaryType()), T.StructField("day", T.DateType())])
+    for i, some in enumerate((shapes, shapes + odd)):
+        rows = [(g, None if j % 7 == 0 else j, None if j % 5 == 0 else "é" * j, None if j % 3 == 0 else j % 2 == 0, b"\x00" * (j % 4), datetime.date(2024, 1, 1 + j % 28)) for j, g in enumerate(some)]
+        df = spark.createDataFrame(rows, schema)
+        path = str(tmp_path / f"w{i}")
+        writer = binary.Writer({"name": "x"}, schema, path, False)
+        batch = df.toArrow().combine_chunks().to_batches()[0]
+        writer.commit([writer.write(iter([batch.slice(0, 20), batch.slice(20)]))])
+        assert [p.name for p in (tmp_path / f"w{i}").iterdir() if p.name.startswith("_")] == []
+        opened = binary.Opened.of(binary.files_of(path)[0])
+        full = binary.schema_of(opened.header, None, True)
+        whole = binary.read_part(binary._batches(opened, None, 0, 1 << 20, 0)[0][0], full, "FAILFAST", None)
+        fast = [r for b in whole for r in b.to_pylist()]
+        monkeypatch.setattr(binary.columnar, "decode", lambda *a: None)
+        slow = [r for b in binary.read_part(binary._batches(opened, None, 0, 1 << 20, 0)[0][0], full, "FAILFAST", None) for r in b.to_pylist()]
+        monkeypatch.undo()
+        monkeypatch.setattr(binary, "SPOOL", spool)
+        assert repr(fast) == repr(slow) and len(fast) == len(some)
+        want = {repr((r[1:5], str(r[5]))) for r in rows}
+        assert {repr(((r["k"], r["s"], r["b"], r["raw"]), r["day"])) for r in fast} == want
+
+
+def test_ranges_over_http(spark, tmp_path):
+    path = str(tmp_path / "a")
+    binary.write(grid(spark).coalesce(1), path)
+    raw = open(binary.files_of(path)[0], "rb").read()
+    seen = []
+
+    class Serve(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            a, b = map(int, self.headers["Range"].removeprefix("bytes=").split("-"))
+            seen.append(self.headers.get("X-Key"))
+            if a >= len(raw):
+                self.send_response(416)
+                self.send_header("Content-Range", f"bytes */{len(raw)}")
+                self.end_headers()
+                return
+            part = raw[a : b + 1]
+            self.send_response(206)
+            self.send_header("Content-Range", f"bytes {a}-{a + len(part) - 1}/{len(raw)}")
+            self.send_header("Content-Length", str(len(part)))
+            self.end_headers()
+            self.wfile.write(part)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Serve)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}/a.bin"
+        df = binary.read(spark, url, RECT, headers='{"X-Key": "k"}')
+        assert {r.key for r in df.collect()} == brute(grid(spark)) and set(seen) == {"k"}
+        assert sorted(r.fid for r in binary.read(spark, url).collect()) == list(range(400))
+        assert int(binary.header_info(spark, url).first().features_count) == 400
+        seen.clear()
+        used = binary.usage(url, RECT)
+        assert used["open_requests"] == 1 and len(seen) <= 3 and used["open_bytes"] <= 12_944 and used["requests"] <= 3
+    finally:
+        server.shutdown()
+
+
+def test_search_by_levels_equals_the_whole_tree(tmp_path):
+    rng = np.random.default_rng(3)
+    for n, size in ((1, 2), (17, 16), (700, 4), (5000, 16)):
+        low = rng.uniform(0, 100, (n, 2))
+        boxes = np.concatenate([low, low + rng.uniform(0, 5, (n, 2))], axis=1)
+        raw = L.build_tree(boxes, np.arange(n) * 10, size)
+        for rect in ((10, 10, 20, 20), (0, 0, 200, 200), (-5, -5, -1, -1)):
+            for gap in (0, 400, 1 << 20):
+                reads = []
+                ids, offsets, ends = L.search_levels(lambda a, k, reads=reads: reads.append(k) or raw[a : a + k], n, size, rect, gap)
+                assert ids.tolist() == L.search_tree(raw, n, size, rect)
+                assert offsets.tolist() == (ids * 10).tolist() and [e for e in ends.tolist()] == [i * 10 + 10 if i + 1 < n else -1 for i in ids.tolist()]
+                assert sum(reads) <= len(raw) * 2
+
+
 def test_without_index_a_rectangle_is_filtered(spark, tmp_path):
     path, df = str(tmp_path / "a"), grid(spark)
     binary.write(df, path, index="false")
