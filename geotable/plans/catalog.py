@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from geotable.functions import bbox as B
 from geotable.functions import geometry as G
@@ -136,8 +135,8 @@ def touching_edges(spark, sf_dir):
 
 @query("ordered_search", with_boxes(f"SELECT fid, ROW_NUMBER() OVER (ORDER BY fid) AS place FROM boxes WHERE {SQL_RECT}"))
 def ordered_search(spark, sf_dir):
-    hits = B.filter_rect(boxes(spark, sf_dir), RECT).select("fid").orderBy("fid")
-    return hits.withColumn("place", F.row_number().over(Window.orderBy("fid")).cast("long"))
+    hits = X.global_rank(B.filter_rect(boxes(spark, sf_dir), RECT).select("fid"), [F.col("fid")], "place")
+    return hits.select("fid", (F.col("place") + 1).alias("place"))
 
 
 @query("attribute_filter", "SELECT c_custkey AS fid, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0")
@@ -203,9 +202,9 @@ def hilbert_sort(spark, sf_dir):
     return X.leaves(boxes(spark, sf_dir)).select("fid", "hilbert", "pos")
 
 
-@query("hilbert_sort_ascending", with_boxes(f"SELECT fid, hilbert FROM ({hilbert_sql(_PARTS)}) q ORDER BY hilbert, fid LIMIT 100"))
+@query("hilbert_sort_ascending", with_boxes(f"SELECT fid, hilbert, ROW_NUMBER() OVER (ORDER BY hilbert, fid) - 1 AS pos FROM ({hilbert_sql(_PARTS)}) q"))
 def hilbert_sort_ascending(spark, sf_dir):
-    return X.hilbert_sorted(boxes(spark, sf_dir), ascending=True).select("fid", "hilbert").limit(100)
+    return X.global_rank(X.with_hilbert(boxes(spark, sf_dir)), [F.col("hilbert"), F.col("fid")], "pos").select("fid", "hilbert", "pos")
 
 
 @query("level_bounds", "SELECT * FROM (VALUES (0, CAST(3 AS BIGINT), CAST(23 AS BIGINT)), (1, 1, 3), (2, 0, 1)) t(level, lo, hi)")
@@ -314,13 +313,13 @@ def feature_lengths(spark, sf_dir):
 _LEN = f"SELECT pos, start, LEAD(start) OVER (ORDER BY pos) - start AS length FROM ({_OFFSETS}) o"
 _BATCH = f"""SELECT pos, start, length, SUM(fresh) OVER (ORDER BY start ROWS UNBOUNDED PRECEDING) AS batch FROM (
  SELECT pos, start, length, CASE WHEN start - LAG(start + COALESCE(length, 4)) OVER (ORDER BY start) > 4096 THEN 1 ELSE 0 END AS fresh
- FROM ({_LEN}) l WHERE pos % 3 = 0) f"""
+ FROM ({_LEN}) l WHERE pos IN (SELECT doc_id FROM documents WHERE lang = 'de')) f"""
 
 
 @query("gap_batches", f"SELECT CAST(batch AS BIGINT) AS batch, MIN(start) AS \"start\", MAX(start + COALESCE(length, 4)) AS \"end\", COUNT(*) AS ranges FROM ({_BATCH}) b GROUP BY batch")
 def gap_batches(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("n_chars").alias("size"))
-    hits = N.lengths_wide(N.offsets_wide(d, ["pos"])).where("pos % 3 = 0")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("n_chars").alias("size"), "lang")
+    hits = N.lengths_wide(N.offsets_wide(d, ["pos"])).where("lang = 'de'")
     return N.batches(hits, gap=4096).select("batch", "start", "end", "ranges")
 
 
@@ -486,10 +485,10 @@ def json_attribute(spark, sf_dir):
     return table(spark, sf_dir, "events").where("event_type = 'click'").select("event_id", "props")
 
 
-@query("append_features", with_boxes("SELECT fid FROM boxes WHERE fid < 20 UNION ALL SELECT fid FROM boxes WHERE fid < 10"))
+@query("append_features", f"WITH boxes AS ({_BOX}), points AS ({_POINT}) SELECT fid, minx, maxy FROM boxes UNION ALL SELECT fid, x, y FROM points")
 def append_features(spark, sf_dir):
-    b = boxes(spark, sf_dir).select("fid")
-    return b.where("fid < 20").unionByName(b.where("fid < 10"))
+    both = boxes(spark, sf_dir).select("fid", "bbox").unionByName(points(spark, sf_dir).select("fid", "bbox"))
+    return both.select("fid", F.col("bbox.minx").alias("minx"), F.col("bbox.maxy").alias("maxy"))
 
 
 @query("distinct_groups", "SELECT p_brand, COUNT(DISTINCT p_type) AS types FROM part GROUP BY p_brand")

@@ -8,7 +8,7 @@ import os
 
 import pytest
 
-from geotable.plans import catalog
+from geotable.plans import catalog, roundtrips  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
