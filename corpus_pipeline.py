@@ -16,6 +16,7 @@ from geotable.llm.minhash import near_duplicates, only
 from geotable.llm.packing import pack
 from geotable.llm.secrets import redacted
 from geotable.llm.toxicity import scored, trained
+from geotable.operators.storage import mark, sweep
 
 #: A document at this toxicity or more is rejected.
 TOXIC = 0.3
@@ -58,7 +59,8 @@ STAGES = [("toxicity", toxicity), ("dedup", dedup), ("decontamination", decontam
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        sweep(spark, since, docs)  # what the stage itself had to write
     return STAGES[-1][1](spark, docs, sf_dir)
