@@ -10,6 +10,10 @@ Documents with equal sets are one class from the start. Under a key only links t
 are tried first; then, between classes whose components still differ, pairs near enough are taken
 from blocks of a key's members, closest first, until every such pair is linked or refuted. So copies
 are never expanded to all pairs, and no link between different texts is lost.
+
+Versions of one text that are near, yet not near enough, are as many pairs as their number squared. Most
+are refuted where they meet, without their texts: a set has a parity sketch, of which each shingle flips
+one bit, so two sketches differ in no more bits than their sets in shingles. That bound is exact.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ SIZE = PARTS // CHUNKS
 GUARANTEED = CHUNKS * (ERRORS + 1) - 1
 #: Pairs that meet are confirmed up to this distance (a similarity of 0.8 exceeds it once in 10 million).
 FARTHEST = GUARANTEED + 4
+#: Bits of a parity sketch: a power of two, at least twice the set's size within these bounds. Beyond, a sketch refutes less, and texts decide.
+FEWEST_BITS, MOST_BITS = 512, 1 << 17
 #: Members of one key that are compared at once, at least; a key has no more than BLOCKS blocks of a sort, so a member has at most twice as many copies.
 BLOCK, BLOCKS = 1000, 64
 #: Pairs of one document that are confirmed at once.
@@ -89,6 +95,53 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (mixed(least) & np.uint64(2**BITS - 1)).astype("<u2")
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Bit i is the parity of the number of shingles whose hash is i modulo the number of bits."""
+    bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (2 * len(s) - 1).bit_length()))
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """Sketches of sets of `sizes` shingles; refutes pairs of them, given by their places."""
+
+    def __init__(self, sketches: list[bytes], sizes: np.ndarray, percent: int):
+        self.sketches, self.sizes, self.percent, self.words = sketches, sizes, percent, np.array([len(x) // 8 for x in sketches], np.int64)
+        self.least = np.empty((len(sketches), FEWEST_BITS // 64), np.uint64)
+        for w in np.unique(self.words):
+            at = np.flatnonzero(self.words == w)
+            self.least[at] = self._folded(at, int(w), FEWEST_BITS // 64)
+
+    def _folded(self, at: np.ndarray, own: int, words: int) -> np.ndarray:
+        """Sketches of `own` 64-bit words at places, as those of `words` words: the halves are added without carry."""
+        x = np.frombuffer(b"".join([self.sketches[i] for i in at.tolist()]), "<u8").reshape(-1, own)
+        return np.bitwise_xor.reduce(x.reshape(-1, own // words, words), axis=1)
+
+    def _possible(self, x: np.ndarray, y: np.ndarray, both: np.ndarray) -> np.ndarray:
+        # 100 * intersection >= percent * union, written with the sum of the sizes and the difference, which the bits bound from below
+        return (100 + self.percent) * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= (100 - self.percent) * both
+
+    def quickly(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether pairs stand by their sizes and by sketches of the fewest bits."""
+        a, b = self.sizes[i], self.sizes[j]
+        ok = 100 * np.minimum(a, b) >= self.percent * np.maximum(a, b)
+        ok[ok] = self._possible(self.least[i[ok]], self.least[j[ok]], (a + b)[ok])
+        return ok
+
+    def closely(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether pairs stand by as many bits as both have."""
+        ok, both, words = np.ones(len(i), bool), self.sizes[i] + self.sizes[j], np.minimum(self.words[i], self.words[j])
+        for w in np.unique(words[words > FEWEST_BITS // 64]).tolist():
+            pairs = np.flatnonzero(words == w)
+            for p in np.array_split(pairs, len(pairs) * w // 1_000_000 + 1):
+                at, place = np.unique(np.concatenate([i[p], j[p]]), return_inverse=True)
+                folded = np.empty((len(at), w), np.uint64)
+                for own in np.unique(self.words[at]).tolist():
+                    folded[self.words[at] == own] = self._folded(at[self.words[at] == own], own, w)
+                ok[p] = self._possible(folded[place[: len(p)]], folded[place[len(p) :]], both[p])
+        return ok
+
+
 def keys(sigs: np.ndarray) -> np.ndarray:
     """One row of keys for each signature: the number of the chunk and mask, then the parts that stay."""
     out = np.empty((len(sigs), len(_MASKS)), np.int64)
@@ -101,21 +154,23 @@ def keys(sigs: np.ndarray) -> np.ndarray:
 
 
 def signed(df: DataFrame, width: int, key: str, text: str) -> DataFrame:
-    """key, n_shingles long, set_key binary (16 bytes, equal for equal sets; null if empty), sig binary."""
+    """key, n_shingles long, set_key binary (16 bytes, equal for equal sets; null if empty), sig binary, sketch binary."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in batches(it):
-            n, ks, sigs = [], [], []
+            n, ks, sigs, parities = [], [], [], []
             for x in b.column(1).cast(pa.binary()).to_pylist():
                 s = shingles(x, width, words)
                 n.append(len(s))
                 ks.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ks, pa.binary()), pa.array(sigs, pa.binary())], names=["key", "n_shingles", "set_key", "sig"])
+                parities.append(sketch(s) if len(s) else None)
+            arrays = [b.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (ks, sigs, parities))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "n_shingles", "set_key", "sig", "sketch"])
 
     kind = df.schema[key].dataType.simpleString()
-    return mapped(df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`")), run, f"key {kind}, n_shingles long, set_key binary, sig binary")
+    return mapped(df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`")), run, f"key {kind}, n_shingles long, set_key binary, sig binary, sketch binary")
 
 
 def _keyed(classes: DataFrame) -> DataFrame:
@@ -127,22 +182,25 @@ def _keyed(classes: DataFrame) -> DataFrame:
     return mapped(classes.select("id", "sig"), run, f"k long, id {classes.schema['id'].dataType.simpleString()}")
 
 
-def _near(pairs: DataFrame) -> DataFrame:
-    """Pairs (u, v, su, sv) at a signature distance of at most FARTHEST, with the distance."""
+def _near(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v, and of both sig, sketch, n: su, sv, pu, pv, nu, nv) at a signature distance of at most FARTHEST that sketches don't refute, with the distance."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, rows=5000):
             x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(-1, PARTS) for i in (2, 3))
             d = (x != y).sum(axis=1)
+            sketches = Sketches(b.column(4).to_pylist() + b.column(5).to_pylist(), np.concatenate([b.column(i).to_numpy() for i in (6, 7)]), percent)
             ok = np.flatnonzero(d <= FARTHEST)
+            ok = ok[sketches.quickly(ok, ok + b.num_rows)]
+            ok = ok[sketches.closely(ok, ok + b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), b.column(1).take(pa.array(ok)), pa.array(d[ok], pa.int64())], names=["u", "v", "d"])
 
     kind = pairs.schema["u"].dataType.simpleString()
-    return mapped(pairs.select("u", "v", "su", "sv"), run, f"u {kind}, v {kind}, d long")
+    return mapped(pairs.select("u", "v", "su", "sv", "pu", "pv", "nu", "nv"), run, f"u {kind}, v {kind}, d long")
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """Pairs of members (k, id, component, sig) of a key that are near and of different components.
+def _blocks(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members (k, id, component, sig, sketch, n) of a key that are near, not refuted by sketches and of different components.
 
     Under each key the members of the smallest id's component, most of a hot key, are cut into blocks
     of about BLOCK, and so are all others. Blocks of the first sort meet only blocks of the second,
@@ -156,12 +214,13 @@ def _blocks(members: DataFrame) -> DataFrame:
     own = F.when(F.col("in"), F.pmod(F.xxhash64("id"), F.col("b_in"))).otherwise(F.col("b_in") + F.pmod(F.xxhash64("id"), F.col("b_out"))).cast("int")
     placed = marked.join(sized, "k").withColumn("blk", own)
     others = F.sequence(F.when(F.col("in"), F.col("b_in")).otherwise(F.lit(0)), F.col("b_in") + F.col("b_out") - 1)
-    met = placed.withColumn("other", F.explode(others)).select(F.xxhash64("k", F.least("blk", "other"), F.greatest("blk", "other")).alias("cell"), "id", "component", "sig")
+    met = placed.withColumn("other", F.explode(others)).select(F.xxhash64("k", F.least("blk", "other"), F.greatest("blk", "other")).alias("cell"), "id", "component", "sig", "sketch", "n")
     kind = members.schema["id"].dataType.simpleString()
 
     def compared(t: pa.Table) -> pa.RecordBatch:
         cell, ids, comp = (t.column(c).to_numpy() for c in ("cell", "id", "component"))
         sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, PARTS)
+        sketches = Sketches(t.column("sketch").to_pylist(), t.column("n").to_numpy(), percent)
         us, vs, ds = [ids[:0]], [ids[:0]], [np.zeros(0, np.int64)]
         for shift in range(1, len(ids)):  # rows are in order of cells: the i-th and the (i + shift)-th meet if their cells are one
             same = cell[shift:] == cell[:-shift]
@@ -169,8 +228,11 @@ def _blocks(members: DataFrame) -> DataFrame:
                 break
             i = np.flatnonzero(same & (comp[shift:] != comp[:-shift]))
             for i in np.array_split(i, len(i) // 50_000 + 1):
+                i = i[sketches.quickly(i, i + shift)]
                 d = (sigs[i] != sigs[i + shift]).sum(axis=1)
                 i, d = i[d <= FARTHEST], d[d <= FARTHEST]
+                ok = sketches.closely(i, i + shift)
+                i, d = i[ok], d[ok]
                 us.append(np.minimum(ids[i], ids[i + shift]))
                 vs.append(np.maximum(ids[i], ids[i + shift]))
                 ds.append(d)
@@ -251,25 +313,25 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str =
     """
     rows = cut(signed(df, width, key, text))
     classes = cut(
-        rows.where("set_key is not null and key is not null").groupBy("set_key").agg(F.min("key").alias("id"), F.first("sig").alias("sig"))
+        rows.where("set_key is not null and key is not null").groupBy("set_key").agg(F.min("key").alias("id"), *[F.first(c).alias(n) for c, n in (("sig", "sig"), ("sketch", "sketch"), ("n_shingles", "n"))])
     )
     keyed = _keyed(classes)
     shared = keyed.groupBy("k").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "lead")
     buckets = cut(keyed.join(shared, "k"))  # only keys that at least two classes share
 
-    sig = lambda at, name: classes.select(F.col("id").alias(at), F.col("sig").alias(name))
+    sig = lambda at: classes.select(F.col("id").alias(at), F.col("sig").alias(f"s{at}"), F.col("sketch").alias(f"p{at}"), F.col("n").alias(f"n{at}"))
     stars = buckets.where("id <> lead").select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct()
-    stars = cut(_near(stars.join(sig("v", "sv"), "v").join(sig("u", "su"), "u")))
+    stars = cut(_near(stars.join(sig("v"), "v").join(sig("u"), "u"), percent))
     read = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
     # of rows with one key, the one whose set gave the class is not known: all are tried
     links = cut(_confirmed(stars, read, width, percent))
     found = components(links)
 
-    labelled = classes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "sig")
+    labelled = classes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "sig", "sketch", "n")
     members = buckets.select("k", "id").join(labelled.select("id", "component"), "id")
     open_keys = members.groupBy("k").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("k")
-    open_members = members.join(open_keys, "k").join(labelled.select("id", "sig"), "id").select("k", "id", "component", "sig")
-    rest = cut(_blocks(open_members).join(stars.select("u", "v"), ["u", "v"], "left_anti"))
+    open_members = members.join(open_keys, "k").join(labelled.select("id", "sig", "sketch", "n"), "id").select("k", "id", "component", "sig", "sketch", "n")
+    rest = cut(_blocks(open_members, percent).join(stars.select("u", "v"), ["u", "v"], "left_anti"))
     take = 4
     while rest.head(1):
         ends = found.select(F.col("id").alias("u"), F.col("component").alias("cu")), found.select(F.col("id").alias("v"), F.col("component").alias("cv"))

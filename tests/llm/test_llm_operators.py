@@ -254,6 +254,37 @@ def test_hot_keys_equal_an_exact_join(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == expected_components(texts, 4)[0]
 
 
+def test_sketches_refute_only_what_is_no_link():
+    """Pairs of sets from 3 to 9000 hashes that share a part of one, so sketches of one width and of two meet, and some are larger than their sketches."""
+    rng = np.random.default_rng(3)
+    sets, pairs = [], []
+    for n in (3, 40, 250, 300, 500, 530, 1000, 1100, 9000):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for kept in (1.0, 0.99, 0.9, 0.85, 0.8, 0.7, 0.5):
+            for more in (0, n // 20, n // 8):
+                pairs.append((len(sets), len(sets) + 1))
+                sets += [np.unique(base), np.unique(np.concatenate([base[: max(1, int(n * kept))], rng.integers(0, 2**63, more, dtype=np.uint64)]))]
+    s = minhash.Sketches([minhash.sketch(x) for x in sets], np.array([len(x) for x in sets]), 80)
+    i, j = (np.array(x) for x in zip(*pairs, strict=True))
+    stands = s.quickly(i, j) & s.closely(i, j)
+    linked = np.array([minhash._alike(sets[a], sets[b], 80) for a, b in pairs])
+    far = np.array([not minhash._alike(sets[a], sets[b], 70) for a, b in pairs])
+    assert stands[linked].all() and linked.any()
+    assert not stands[far].any() and far.any()
+
+
+def test_near_misses_are_refuted_without_their_texts(spark, monkeypatch):
+    """Versions of one text that are near it and each other, but seldom near enough: pairs that are compared by texts don't grow as all pairs do."""
+    asked, confirmed = [], minhash._confirmed
+    monkeypatch.setattr(minhash, "_confirmed", lambda pairs, *more: asked.append(pairs.count()) or confirmed(pairs, *more))
+    rng = random.Random(8)
+    base = words(rng, 300, 3000)
+    texts = [base, *[edited(rng, base, rng.randrange(22, 45)) for _ in range(200)]]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, texts), width=4).collect()}
+    assert [got[i] for i in range(len(texts))] == expected_components(texts, 4)[0]
+    assert sum(asked) < 2 * len(texts)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(50, 40), (60, 60), (70, 71), (71, 72), (72, 70), (None, 3)]
     got = {r.id: r.component for r in C.components(spark.createDataFrame(edges, "u long, v long")).collect()}
