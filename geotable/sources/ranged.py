@@ -1,7 +1,7 @@
 """Files by byte ranges: local paths, object stores (through pyarrow), and HTTP servers that know ranges.
 
 A request fetches at least what is asked for and is kept until the next, so reads that follow each other share one.
-Requests, bytes fetched and bytes used are counted.
+Over HTTP a range that is read in pieces is one request whose reply is read on. Requests, bytes fetched and bytes used are counted.
 """
 
 from __future__ import annotations
@@ -39,6 +39,26 @@ class _Http:
 
     def __init__(self, url: str, headers: dict[str, str] | None = None):
         self.url, self.headers, self.size = url, headers or {}, None
+        self._reply, self._next, self._until = None, 0, 0
+
+    def start(self, at: int, until: int) -> None:
+        """Asks for a range that read_on() takes in pieces."""
+        self.close()
+        asked = urllib.request.Request(self.url, headers=self.headers | {"Range": f"bytes={at}-{until - 1}"})
+        reply = urllib.request.urlopen(asked, timeout=120)  # noqa: S310
+        if reply.status == 206:
+            self.size = int(reply.headers["Content-Range"].rpartition("/")[2])
+            self._reply, self._next, self._until = reply, at, until
+        else:  # a server without ranges sends everything
+            reply.close()
+
+    def goes_on(self, at: int, n: int) -> bool:
+        return self._reply is not None and self._next == at and at + n <= self._until
+
+    def read_on(self, n: int) -> bytes:
+        out = self._reply.read(n)
+        self._next += len(out)
+        return out
 
     def read_at(self, n: int, at: int) -> bytes:
         asked = urllib.request.Request(self.url, headers=self.headers | {"Range": f"bytes={at}-{at + n - 1}"})
@@ -57,7 +77,9 @@ class _Http:
             return b""
 
     def close(self) -> None:
-        pass
+        if self._reply is not None:
+            self._reply.close()
+            self._reply = None
 
 
 class Ranged:
@@ -80,19 +102,43 @@ class Ranged:
             self.get(0, 1, PREFETCH)
         return self._file.size
 
-    def get(self, at: int, n: int, least: int = 0) -> bytes:
-        """`n` bytes from `at`; if they aren't held, a request fetches `least` or more."""
+    def hold(self, at: int, n: int) -> None:
+        """Bytes that will be asked for piece by piece, in one request."""
+        if not self._holds(at, n):
+            self._fetch(at, n)
+
+    def get(self, at: int, n: int, least: int = 0, until: int = 0) -> bytes:
+        """`n` bytes from `at`; if they aren't held, a request fetches `least` or more. With `until`, a reader goes on to there."""
         if n <= 0:
             return b""
-        if not self._at <= at <= at + n <= self._at + len(self._block):
-            self._block = self._file.read_at(max(n, least), at)
-            self._at = at
-            self.usage.requests += 1
-            self.usage.fetched += len(self._block)
+        if not self._holds(at, n):
+            if until >= at + n and isinstance(self._file, _Http):
+                self._read_on(at, n, until)
+            if not self._holds(at, n):
+                self._fetch(at, max(n, least))
         out = self._block[at - self._at : at - self._at + n]
         self.usage.used += len(out)
         return out
 
+    def _holds(self, at: int, n: int) -> bool:
+        return self._at <= at <= at + n <= self._at + len(self._block)
+
+    def _fetch(self, at: int, n: int) -> None:
+        self._block, self._at = self._file.read_at(n, at), at
+        self.usage.requests += 1
+        self.usage.fetched += len(self._block)
+
+    def _read_on(self, at: int, n: int, until: int) -> None:
+        kept = self._block[at - self._at :] if self._at <= at <= self._at + len(self._block) else b""
+        if not self._file.goes_on(at + len(kept), n - len(kept)):
+            kept = b""
+            self._file.start(at, until)
+            self.usage.requests += 1
+        if self._file.goes_on(at + len(kept), n - len(kept)):
+            more = self._file.read_on(n - len(kept))
+            self.usage.fetched += len(more)
+            self._block, self._at = kept + more, at
+
     def __enter__(self) -> Ranged:
         return self
 

@@ -397,3 +397,51 @@ def test_promoted_lines_are_encoded_in_batches(spark, tmp_path, monkeypatch):
     back = {r.k: r for r in binary.read(spark, str(tmp_path / "a")).select("k", "geometry.type", G.to_wkt("geometry").alias("t"), "bbox").collect()}
     assert back[1].t == back[4].t == "MULTILINESTRING Z ((0 1 5, 2 3 6))" and back[2].t.startswith("MULTIPOLYGON Z (((0 0") or back[2].t.startswith("MULTIPOLYGON (((0 0")
     assert back[3].t is None and tuple(back[1].bbox) == (0.0, 1.0, 2.0, 3.0)
+
+
+def test_a_search_takes_few_requests_however_large_the_file(tmp_path, monkeypatch):
+    n = 300_000
+    x, y = np.arange(n) % 1000 * 0.3 - 150, np.arange(n) // 1000 * 0.3 - 45
+    boxes = np.stack([x, y, x + 0.01, y + 0.01], axis=1)
+    body = L.write_feature({"type": 1, "parts": [{"path": [], "type": 1, "xy": [1.0, 2.0]}]}, [], [])
+    raw = L.MAGIC + L.write_header(L.Header(features_count=n)) + L.build_tree(boxes, np.arange(n) * len(body), 16) + body * n
+    (tmp_path / "many.bin").write_bytes(raw)
+    rect = (0.0, -200.0, 0.2, 200.0)  # a hit in every row of 1000, far from the next
+    for gap in (None, binary.GAP):
+        used = binary.usage(str(tmp_path / "many.bin"), rect, gap)
+        assert used["open_requests"] == 1 and used["open_bytes"] == 12_944 and used["requests"] <= 10 and 0 <= used["wasted"] <= used["bytes"]
+    monkeypatch.setattr(binary, "GAP", 1000)
+    assert binary.usage(str(tmp_path / "many.bin"), rect, 1000)["requests"] > 100
+    used = binary.usage(str(tmp_path / "many.bin"), rect)
+    assert used["requests"] <= 10 and 0 <= used["wasted"] <= used["bytes"]
+    wanted = [(r[0], r[2]) for gap in (None, 1000) for p in binary._batches(binary.Opened.of(str(tmp_path / "many.bin")), rect, gap, 1 << 16, 0)[0] for _, _, runs in p.ranges for r in runs]
+    assert len(wanted) == 2 * 300 and wanted[:300] == wanted[300:]
+
+    # over HTTP a range that is read in blocks is one request
+    asked = []
+
+    class Serve(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            a, b = map(int, self.headers["Range"].removeprefix("bytes=").split("-"))
+            asked.append((a, b))
+            part = raw[a : b + 1]
+            self.send_response(206)
+            self.send_header("Content-Range", f"bytes {a}-{a + len(part) - 1}/{len(raw)}")
+            self.send_header("Content-Length", str(len(part)))
+            self.end_headers()
+            self.wfile.write(part)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Serve)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setattr(binary, "BLOCK", 1000)
+    try:
+        opened = binary.Opened.of(f"http://127.0.0.1:{server.server_port}/a.bin")
+        asked.clear()
+        part = binary.Part(opened, [(opened.data_at, opened.data_at + 500 * len(body), [(opened.data_at, opened.data_at + 500 * len(body), 0)])], 0)
+        rows = sum(b.num_rows for b in binary.read_part(part, binary.schema_of(opened.header, None, True), "FAILFAST", None))
+        assert rows == 500 and len(asked) == 1
+    finally:
+        server.shutdown()
