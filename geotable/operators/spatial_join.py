@@ -12,31 +12,80 @@ of its larger box. So a box of the whole world costs no more than any other.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geotable.functions import bbox as B
 from geotable.functions import geometry as G
+from geotable.operators.storage import cut
 
 WORLD = 2 * math.pi * G.RADIUS
 
 
 def _cells(df: DataFrame, box: str, size: float, top: int, x0: float, y0: float, tag: str) -> DataFrame:
+    """`df` once for each cell of a box, with the cell, the box's sides as columns, and bits: first column (1) and first row (2) of its cells, its own level (4)."""
     b = F.col(box)
     clean = b.isNotNull() & ~F.isnan(b["maxx"]) & ~F.isnan(b["maxy"]) & ~F.isnan(b["minx"]) & ~F.isnan(b["miny"]) & (b["minx"] <= b["maxx"]) & (b["miny"] <= b["maxy"])
     side = F.greatest(B.width(box), B.height(box))
     own = F.when(side <= size, F.lit(0)).otherwise(F.least(F.ceil(F.log2(side / F.lit(size))), F.lit(top))).cast("int")
+    level = F.col(f"__level{tag}")
+    at = lambda c, o: _cell(c, o, size, level)
     rows = df.where(clean).withColumn(f"__own{tag}", own).withColumn(f"__level{tag}", F.explode(F.sequence(F.col(f"__own{tag}"), F.lit(top))))
-    at = lambda c, o: _cell(c, o, size, F.col(f"__level{tag}"))
-    xs, ys = F.sequence(at(b["minx"], x0), at(b["maxx"], x0)), F.sequence(at(b["miny"], y0), at(b["maxy"], y0))
-    return rows.withColumn(f"__x{tag}", F.explode(xs)).withColumn(f"__y{tag}", F.explode(ys))
+    rows = rows.withColumns({f"__left{tag}": at(b["minx"], x0), f"__low{tag}": at(b["miny"], y0)} | {f"__{s}{tag}": b[s] for s in B.SIDES})
+    left, low = F.col(f"__left{tag}"), F.col(f"__low{tag}")
+    rows = rows.withColumn(f"__x{tag}", F.explode(F.sequence(left, at(b["maxx"], x0)))).withColumn(f"__y{tag}", F.explode(F.sequence(low, at(b["maxy"], y0))))
+    bit = lambda c, v: F.when(c, F.lit(v)).otherwise(F.lit(0))
+    bits = bit(F.col(f"__x{tag}") == left, 1) + bit(F.col(f"__y{tag}") == low, 2) + bit(F.col(f"__own{tag}") == level, 4)
+    return rows.withColumn(f"__bits{tag}", bits).drop(left, low, f"__own{tag}")
 
 
 def _cell(c: Column, low: float, size: float, level: Column) -> Column:
     return F.floor((c - F.lit(low)) / (F.lit(size) * F.pow(F.lit(2.0), level))).cast("long")
 
 
+#: Rows of one side that meet as many of the other in one place, at most. A task has the square of it in pairs to look at, or a little more.
+SIDE = 10_000
+#: Cells with more than SIDE rows that are broadcast to both sides.
+CROWDED = 1_000_000
+TASKS = 20_000
+#: Pairs to look at that are left to Catalyst, which plans by the rows.
+FEW = 1_000_000
+
+
+def _spread(a: DataFrame, b: DataFrame, columns: tuple[list[str], list[str]]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides partitioned by cell into tasks by the pairs to look at (of which the rows tell little), and the names of the keys they meet by.
+
+    In cells with more than SIDE rows each side is cut into blocks by its rows' hash, and every block goes to all blocks of the other.
+    """
+    keys = ["__level", "__x", "__y"]
+    named = lambda t: [F.col(f"{k}{t}").alias(k) for k in keys]
+    sizes = a.groupBy(*named("a")).agg(F.count(F.lit(1)).alias("na")).join(b.groupBy(*named("b")).agg(F.count(F.lit(1)).alias("nb")), keys)
+    full = (F.col("na") > SIDE) | (F.col("nb") > SIDE)
+    sizes = cut(sizes.where(full).select(*keys, *[F.ceil(F.col(f"n{t}") / SIDE).cast("int").alias(f"__blocks{t}") for t in "ab"], (F.col("na").cast("double") * F.col("nb")).alias("pairs")).unionByName(
+        sizes.where(~full).agg(F.sum(F.col("na").cast("double") * F.col("nb")).alias("pairs")), allowMissingColumns=True))
+    found = sizes.agg(F.sum("pairs").alias("pairs"), F.count("__x").alias("crowded")).first()
+    if found["crowded"]:
+        blocks = sizes.where("__x is not null").drop("pairs")
+        blocks = F.broadcast(blocks) if found["crowded"] <= CROWDED else blocks
+        a, b = (_blocks(df, blocks, keys, t, o, c) for df, t, o, c in ((a, "a", "b", columns[0]), (b, "b", "a", columns[1])))
+        keys += ["__ina", "__inb"]
+    if (found["pairs"] or 0) > FEW:
+        tasks = min(TASKS, max(math.ceil(found["pairs"] / (SIDE * SIDE)), int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        a, b = (df.repartition(tasks, *[f"{k}{t}" for k in keys]) for df, t in ((a, "a"), (b, "b")))
+    return a, b, keys
+
+
+def _blocks(df: DataFrame, blocks: DataFrame, keys: list[str], tag: str, other: str, columns: list[str]) -> DataFrame:
+    """A row's own block, and once for each block of the other side."""
+    met = df.join(blocks, [df[f"{k}{tag}"] == blocks[k] for k in keys], "left").drop(*keys)
+    own = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns], *[F.col(f"__{s}{tag}") for s in B.SIDES]), F.coalesce(f"__blocks{tag}", F.lit(1))).cast("int")
+    met = met.withColumn(f"__in{tag}{tag}", own).withColumn(f"__in{other}{tag}", F.explode(F.sequence(F.lit(0), F.coalesce(f"__blocks{other}", F.lit(1)) - 1)))
+    return met.drop("__blocksa", "__blocksb")
+
+
 def box_join(left: DataFrame, right: DataFrame, left_box: str = "bbox", right_box: str = "bbox2", cell: float | None = None) -> DataFrame:
     """Pairs of rows whose boxes meet, each pair once. Column names of the two sides must differ.
 
@@ -53,13 +102,15 @@ def box_join(left: DataFrame, right: DataFrame, left_box: str = "bbox", right_bo
         span = max(row["maxx"] - x0, row["maxy"] - y0, 1e-9)
         size = cell or max(row["mean"], span / 4096)
         top = max(0, math.ceil(math.log2(max(row["largest"], size) / size)))
-    a, b = _cells(left, left_box, size, top, x0, y0, "a"), _cells(right, right_box, size, top, x0, y0, "b")
-    la, rb, level = F.col(left_box), F.col(right_box), F.col("__levela")
-    corner = lambda side, o: _cell(F.greatest(la[side], rb[side]), o, size, level)
-    same = (level == F.col("__levelb")) & (F.col("__xa") == F.col("__xb")) & (F.col("__ya") == F.col("__yb"))
-    home = level == F.greatest("__owna", "__ownb")
-    met = a.join(b, same & home & B.boxes_intersect(left_box, right_box) & (F.col("__xa") == corner("minx", x0)) & (F.col("__ya") == corner("miny", y0)))
-    return met.drop(*[f"__{n}{t}" for n in ("own", "level", "x", "y") for t in "ab"])
+    plain = lambda df: [n for n, t in df.dtypes if "map<" not in t and "variant" not in t]
+    a, b, keys = _spread(_cells(left, left_box, size, top, x0, y0, "a"), _cells(right, right_box, size, top, x0, y0, "b"), (plain(left), plain(right)))
+    side = lambda s, t: F.col(f"__{s}{t}")
+    same = [F.col(f"{k}a") == F.col(f"{k}b") for k in keys]
+    # the pair's level is that of its larger box, its cell the one of its overlap's lower left corner: in both axes the first of either box
+    home = F.col("__bitsa").bitwiseOR(F.col("__bitsb")) == 7
+    meets = (side("minx", "a") <= side("maxx", "b")) & (side("maxx", "a") >= side("minx", "b")) & (side("miny", "a") <= side("maxy", "b")) & (side("maxy", "a") >= side("miny", "b"))
+    met = a.join(b, reduce(and_, same) & home & meets)
+    return met.drop(*[f"{k}{t}" for k in (*keys, "__bits", *[f"__{s}" for s in B.SIDES]) for t in "ab"])
 
 
 def tile_rect(z: int, x: int, y: int, srid: int = 4326) -> B.Rect:

@@ -165,3 +165,21 @@ def test_cut_tables_are_swept(spark):
     assert os.path.isdir(path)
     storage.sweep(spark)
     assert not os.path.exists(path) and storage._written == []
+
+
+def test_box_join_spreads_pairs_of_crowded_places(spark, monkeypatch):
+    """Rows are few, pairs many: tasks are as many as the pairs ask for, also where all are in one place."""
+    spot = spark.range(600).select(F.col("id").alias("fid"), B.make(F.col("id") % 3, F.lit(0), F.col("id") % 3 + 1.5, F.lit(1)).alias("bbox"))
+    _, more = random_boxes(spark, 100, 6)
+    left = spot.union(more.select((F.col("fid") + 1000).alias("fid"), "bbox"))
+    right = left.select(F.col("fid").alias("other"), F.col("bbox").alias("bbox2"))
+    rows = [(r.fid, tuple(r.bbox)) for r in left.collect()]
+    want = sorted((i, j) for i, x in rows for j, y in rows if meets((i, *x), y))
+    monkeypatch.setattr(J, "SIDE", 20)
+    monkeypatch.setattr(J, "FEW", 400)
+    for crowded in (J.CROWDED, 0):
+        monkeypatch.setattr(J, "CROWDED", crowded)
+        joined = J.box_join(left, right).select("fid", "other")
+        assert sorted((r.fid, r.other) for r in joined.collect()) == want
+    per_task = joined.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count"), F.count(F.lit(1))).first()
+    assert per_task[1] > 100 and per_task[0] < len(want) / 20
