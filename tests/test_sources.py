@@ -508,3 +508,41 @@ def test_a_spool_is_read_once_however_its_order_jumps(tmp_path, monkeypatch):
     size = sum(map(len, features))
     assert size > 40 * binary.SPOOL and total[0] == 2 * size and most[0] < 1.2 * binary.SPOOL
     assert list((tmp_path / "s").iterdir()) == []
+
+
+def test_collections_are_cut_between_members(spark, tmp_path, monkeypatch):
+    import io
+
+    from geotable.sources import collections
+
+    rng = np.random.default_rng(11)
+    odd = ["]}", '{"features":[', 'a"b', "\\", '\\"', "\\\\", "é{", "\n"]
+    feats = [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [i, -i]}, "properties": {"i": i, "t": "".join(rng.choice(odd, 3)), "features": [{"x": [1]}]}} for i in range(300)]
+    whole = {"type": "FeatureCollection", "bbox": [0, 1, 2, 3], "meta": {"features": [{"no": 1}]}, "features": feats, "after": [{"no": 2}]}
+    for indent in (None, 1):
+        for ascii_ in (True, False):
+            raw = json.dumps(whole, indent=indent, ensure_ascii=ascii_).encode()
+            for block in (7, 64, 1 << 20):
+                monkeypatch.setattr(collections, "BLOCK", block)
+                cuts = collections.pieces(io.BytesIO(raw).read, 500)
+                assert len(cuts) > 20
+                assert [json.loads(m) for a, b in cuts for m in collections.members(raw[a:b])] == feats
+    assert collections.pieces(io.BytesIO(raw[:-2]).read, 500) == [] == collections.pieces(io.BytesIO(b" ").read, 5)
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "a b%20.json").write_bytes(raw)
+    (tmp_path / "c" / "b.json").write_text(json.dumps(feats[0]))
+    (tmp_path / "c" / "c.json").write_text('{"type": "Point", "coordinates": [1, 2]}')
+    got = geojson.read(spark, str(tmp_path / "c"), "i int, t string").orderBy("fid").collect()
+    assert [(r.i, r.t) for r in got] == [(f["properties"]["i"], f["properties"]["t"]) for f in [*feats, feats[0]]] and [r.fid for r in got] == list(range(301))
+
+
+def test_a_collection_is_written_as_it_comes(spark, tmp_path):
+    df = spark.range(0, 2000, 1, 5).select(G.point("id", "id").alias("geometry"), F.col("id").alias("k")).orderBy(F.desc("k"))
+    out = str(tmp_path / "o")
+    geojson.write(df, out, lines=False)
+    files = [p for p in (tmp_path / "o").iterdir() if p.name.startswith("part")]
+    text = "".join(p.read_text() for p in files)
+    assert len(files) == 1 and [f["properties"]["k"] for f in json.loads(text)["features"]] == list(range(1999, -1, -1))
+    assert len(text.splitlines()) == 2002  # no row of all features
+    geojson.write(df.limit(0), str(tmp_path / "e"), lines=False)
+    assert geojson.read(spark, str(tmp_path / "e"), "k long").count() == 0
